@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrow.llm import language, secrets
+from quillrow.llm import ann, epsilon, language, secrets
 from quillrow.llm.common import read
 
 
@@ -15,6 +15,12 @@ def _spans_text(c: str = "spans") -> Column:
     return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all vectors."""
+    table = read(spark, sf_dir, "embeddings")
+    return ann.search(table, table.where(F.col("vec_id") % 20 == 0))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return language.identify(read(spark, sf_dir, "documents"))
@@ -28,9 +34,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans_text().alias("spans"), live.alias("n_live"), copied.alias("n_copied"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-equal vectors within a label."""
+    return epsilon.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_multi_index": op2_multi_index,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
