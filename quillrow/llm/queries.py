@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrow.llm import ann, epsilon, language, secrets
+from quillrow.llm import ann, epsilon, language, secrets, simhash
 from quillrow.llm.common import read
 
 
@@ -21,6 +21,12 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table, table.where(F.col("vec_id") % 20 == 0))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return language.identify(read(spark, sf_dir, "documents"))
@@ -41,6 +47,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_multi_index": op2_multi_index,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
