@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrow.llm import ann, epsilon, language, secrets, simhash
+from quillrow.llm import ann, bitpack, epsilon, language, secrets, simhash
 from quillrow.llm.common import read
 
 
@@ -27,6 +27,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written bit-packed and read back."""
+    import public_tokenizers
+
+    return bitpack.write_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return language.identify(read(spark, sf_dir, "documents"))
@@ -48,6 +55,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_multi_index": op2_multi_index,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_bit_packing": op4_bit_packing,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
