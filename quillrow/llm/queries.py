@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrow.llm import ann, bitpack, epsilon, language, secrets, simhash
+from quillrow.llm import ann, bitpack, epsilon, language, mixing, pii, secrets, simhash
 from quillrow.llm.common import read
 
 
@@ -15,6 +15,17 @@ def _spans_text(c: str = "spans") -> Column:
     return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Shares of tokens that the mixing query aims at.
+TARGETS = {"high": 0.8, "low": 0.15, "toxic": 0.05}
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and copies of every document for the target shares of quality domains."""
+    out = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text"), mixing.quality_domains(read(spark, sf_dir, "labels")), TARGETS)
+    share = [F.col("posterior")[i].alias(f"p_{n}") for i, n in enumerate(TARGETS)]
+    return out.select("doc_id", "n_tokens", *share, "rate", "n_copies")
+
+
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector among all vectors."""
     table = read(spark, sf_dir, "embeddings")
@@ -34,6 +45,13 @@ def op4_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.write_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    out = pii.detect(read(spark, sf_dir, "documents"))
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans_text().alias("spans"), added.alias("n_added"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return language.identify(read(spark, sf_dir, "documents"))
@@ -53,9 +71,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op2_multi_index": op2_multi_index,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_bit_packing": op4_bit_packing,
+    "op5_bilstm_crf_pii": op5_bilstm_crf_pii,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
