@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrow.llm import ann, bitpack, epsilon, language, mixing, pii, secrets, simhash
+from quillrow.llm import ann, bitpack, epsilon, language, mixing, pieces, pii, secrets, simhash
 from quillrow.llm.common import read
 
 
@@ -52,6 +52,13 @@ def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans_text().alias("spans"), added.alias("n_added"))
 
 
+def op6_gumbel_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and two sampled segmentations, as digests."""
+    import public_tokenizers
+
+    return pieces.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return language.identify(read(spark, sf_dir, "documents"))
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_bit_packing": op4_bit_packing,
     "op5_bilstm_crf_pii": op5_bilstm_crf_pii,
+    "op6_gumbel_sentencepiece": op6_gumbel_sentencepiece,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
