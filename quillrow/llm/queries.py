@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrow.llm import ann, bitpack, epsilon, language, mixing, pieces, pii, secrets, simhash
+from quillrow.llm import ann, bitpack, epsilon, language, mixing, pieces, pii, secrets, simhash, suffixes
 from quillrow.llm.common import read
 
 
@@ -59,6 +59,13 @@ def op6_gumbel_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 400 bytes."""
+    out = suffixes.removed(read(spark, sf_dir, "documents").select("doc_id", "text"), 400)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", F.length("data").cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return language.identify(read(spark, sf_dir, "documents"))
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bit_packing": op4_bit_packing,
     "op5_bilstm_crf_pii": op5_bilstm_crf_pii,
     "op6_gumbel_sentencepiece": op6_gumbel_sentencepiece,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
