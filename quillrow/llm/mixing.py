@@ -25,6 +25,7 @@ empty result; texts are read whole; other columns are carried only where the sta
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,26 +37,36 @@ from pyspark.sql import functions as F
 
 from quillrow.llm import common, language
 
+_MARKS = ".,;:!?*#&%$|\"'()[]{}"
+_EDGE = re.compile(r"^\W+|\W+$")
+#: Labelled documents that have to hold a word before it counts.
+LEAST_DOCUMENTS = 3
+
 #: Words whose buckets a worker remembers.
 MOST_WORDS = 400_000
-_buckets: dict[str, int] = {}
+_buckets: dict[str, tuple[int, ...]] = {}
+
+
+def _hashed(part: str) -> int:
+    return xxhash.xxh32_intdigest(part.encode("utf-8", "surrogatepass")) >> (32 - language.BITS)
 
 
-def bucket(word: str) -> int:
-    """Bucket of a word."""
-    at = _buckets.get(word)
-    if at is None:
+def buckets(word: str) -> tuple[int, ...]:
+    """Buckets of a word without the marks around it, and of the marks behind it."""
+    known = _buckets.get(word)
+    if known is None:
         if len(_buckets) >= MOST_WORDS:
             _buckets.clear()
-        at = _buckets[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) >> (32 - language.BITS)
-    return at
+        core = _EDGE.sub("", word)
+        tail = word[len(word.rstrip(_MARKS)) :]
+        known = _buckets[word] = tuple(_hashed(x) for x in (core, "\0" + tail) if x and x != "\0")
+    return known
 
 
-def features(text: str | None) -> tuple[np.ndarray, float, int]:
-    """Buckets of a text's distinct words, the value that each has, and the number of all words."""
+def features(text: str | None) -> tuple[np.ndarray, int]:
+    """Buckets of a text's distinct words, and the number of all words."""
     words = (text or "").lower().split()
-    own = np.array(sorted({bucket(w) for w in set(words)}), np.int64)
-    return own, 1.0 / np.sqrt(len(own)) if len(own) else 0.0, len(words)
+    return np.array(sorted({b for w in set(words) for b in buckets(w)}), np.int64), len(words)
 
 
 @dataclass
@@ -67,10 +78,10 @@ class Domains:
     bias: np.ndarray
     temperature: float
 
-    def posterior(self, at: np.ndarray, value: float) -> np.ndarray:
+    def posterior(self, at: np.ndarray) -> np.ndarray:
         if not len(at):
             return np.full(len(self.names), 1 / len(self.names))
-        z = (self.weights[at].sum(axis=0, dtype=np.float64) * value + self.bias) / self.temperature
+        z = (self.weights[at].sum(axis=0, dtype=np.float64) + self.bias) / self.temperature
         p = np.exp(z - z.max())
         return p / p.sum()
 
@@ -85,12 +96,15 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], max_rows: int =
     seen = [n for n in names if (found["domain"] == n).any()]
     if not seen:
         return Domains(names, np.zeros((language.SIZE, len(names)), np.float32), np.zeros(len(names)), 1.0)
-    made = [(np.asarray(a), np.full(len(a), 1 / np.sqrt(max(1, len(a))))) for a in found["at"]]
+    spread = np.zeros(language.SIZE, np.int64)
+    for a in found["at"]:
+        spread[np.asarray(a)] += 1
+    made = [(k, np.ones(len(k))) for k in (np.asarray(a)[spread[np.asarray(a)] >= LEAST_DOCUMENTS] for a in found["at"])]
     y = found["domain"].map({n: i for i, n in enumerate(names)}).to_numpy()
     held = (found["h"].to_numpy() % 1000) / 1000 < holdout
     if held.all() or not held.any():
         held = np.zeros(len(y), bool)
-    w, b = language.fit_ftrl([r for r, h in zip(made, held, strict=True) if not h], y[~held], len(names), l1=1e-3, epochs=3)
+    w, b = language.fit_ftrl([r for r, h in zip(made, held, strict=True) if not h], y[~held], len(names), alpha=0.1, l1=0.3, l2=0.1, epochs=4)
     logits = np.array([x @ w[at] + b for (at, x), h in zip(made, held, strict=True) if h]).reshape(-1, len(names))
     return Domains(names, w.astype(np.float32), b, max(0.2, language.fit_temperature(logits, y[held])))
 
@@ -111,9 +125,9 @@ def memberships(docs: DataFrame, model: Domains) -> DataFrame:
         for batch in batches:
             n, p = [], []
             for text in batch.column("text").to_pylist():
-                at, value, words = features(text)
+                at, words = features(text)
                 n.append(words)
-                p.append(held.value.posterior(at, value))
+                p.append(held.value.posterior(at))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=[*others, "n_tokens", "posterior"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
