@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillrow.plans import domain, markdown, records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**domain.QUERIES, **markdown.QUERIES, **records.QUERIES}
+ORACLE_SQL: dict[str, str] = {**domain.ORACLE_SQL, **markdown.ORACLE_SQL, **records.ORACLE_SQL}
