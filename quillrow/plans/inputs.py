@@ -6,6 +6,7 @@ The same expression is given for Spark and for SQL, so both engines read the sam
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Openings by doc_id modulo 12; a text without one stays as it is.
