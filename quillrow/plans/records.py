@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrow.functions import text as T
-from quillrow.operators import batch, findings, layout
+from quillrow.operators import batch, findings, layout, numberformats
 from quillrow.plans import inputs as I
 from quillrow.sources import files, tabular
+from quillrow.streaming import triage
 
 
 def region_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +192,40 @@ def signature_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIGNATURE_SQL = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'ole' WHEN 4 THEN 'csv' END AS kind FROM pages"
 
+FORMATS = [(38, None, -5.0, False, False), (0, "#,##0;[Red]#,##0", -5.0, False, True), (0, "0;-0", -5.0, False, False), (0, ";;;", 5.0, True, False), (0, ";;;", None, True, False), (27, None, 5.0, False, True), (14, None, 5.0, False, False), (0, "0.00;[Red]0.00", -0.001, False, False), (0, "# ?/?,", 0.2, False, True)]
+
+
+def numfmt_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What number formats lose."""
+    cells = spark.createDataFrame([(n, *r[:3]) for n, r in enumerate(FORMATS)], "n int, format_id int, code string, value double")
+    return numberformats.losses(cells).select("n", "hidden", "misrendered")
+
+
+FORMATS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({n}, {r[3]}, {r[4]})" for n, r in enumerate(FORMATS)) + ") t(n, hidden, misrendered)"
+
+
+def events_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day and type, as the stream would sum them."""
+    return triage.windowed(I.table(spark, sf_dir, "events"))
+
+
+WINDOWED_SQL = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
+
+
+def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' sessions with gaps of 30 minutes."""
+    return triage.sessions(I.table(spark, sf_dir, "events"))
+
+
+SESSIONS_SQL = """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
+
 QUERIES = {
+    "numfmt_loss": numfmt_loss,
+    "events_windowed": events_windowed,
+    "events_sessions": events_sessions,
     "region_items": region_items,
     "band_join_pairs": band_join_pairs,
     "batch_contract": batch_contract,
@@ -211,6 +245,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "numfmt_loss": FORMATS_SQL,
+    "events_windowed": WINDOWED_SQL,
+    "events_sessions": SESSIONS_SQL,
     "region_items": REGIONS_SQL,
     "band_join_pairs": BAND_SQL,
     "batch_contract": BATCH_SQL,
