@@ -38,6 +38,8 @@ from quillrow.llm.components import components, local_stars
 REFERENCES, SEED = 16, 64
 #: Fingerprints of a block of a long group, and the group length aimed at.
 BLOCK, AIM = 512, 64
+#: Rows of a table of numbers that is broadcast; a longer one is joined by a shuffle.
+MOST_BROADCAST = 400_000
 #: Rows compared at once.
 CHUNK = 1 << 15
 #: Shingles hashed at once, to bound memory on long texts.
@@ -162,11 +164,12 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
                 meet = mixed(np.bitwise_xor.reduce([mixed(words[:, s] + np.uint64(s)) for s in chosen]) + np.uint64(c + 1))
                 yield pa.RecordBatch.from_pydict({"meet": meet.view(np.int64), "fp": fp, "more": batch.column("more"), "rep": batch.column("rep")}, schema=schema)
 
-    rows = common.written(nodes.mapInArrow(meeting, "meet long, fp long, more long, rep long"), "meeting")
+    # Computed twice, for the counts and for the pairs, rather than stored.
+    rows = nodes.mapInArrow(meeting, "meet long, fp long, more long, rep long")
     long = common.written(rows.groupBy("meet").count().where(F.col("count") > BLOCK).select("meet", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "long")
     own = F.pmod(F.xxhash64("fp", "more"), F.col("blocks")).cast("int")
     # Block i of b meets itself and every other block once: pairs (i, j), i <= j.
-    paired = rows.join(long, "meet", "left").withColumn("own", own)
+    paired = rows.join(_small(long, long.count()), "meet", "left").withColumn("own", own)
     short = paired.where(F.col("blocks").isNull()).select("meet", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "fp", "more", "rep")
     split = paired.where(F.col("blocks").isNotNull()).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -233,4 +236,9 @@ def deduplicated(docs: DataFrame, size: int = 5, within: int = 13, wide: int = 2
     rows = common.written(common.keyed(docs), "rows")
     found = near_duplicates(rows.select("doc_id", "row_key", "text"), size, within, wide, segments, agree)
     first = common.written(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("s")).select("s.row_key"), "first")
-    return rows.join(first, "row_key", "left_semi").select(*docs.columns)
+    return rows.join(_small(first, first.count()), "row_key", "left_semi").select(*docs.columns)
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A table of a number or two a row, broadcast only if it has few rows."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
