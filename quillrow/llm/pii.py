@@ -48,6 +48,12 @@ _DIGITS = re.compile("[^0-9]")
 _ANCHOR = re.compile("[0-9@]")
 
 
+def octet(part: str) -> bool:
+    """Whether digits, of whatever number, say 255 at most."""
+    own = part.lstrip("0")
+    return len(own) <= 3 and int(own or "0") <= 255
+
+
 def luhn(digits: str) -> bool:
     """True if the check digit fits."""
     total = 0
@@ -76,7 +82,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", a, b) for a, b in emails(text)]
     if not re.search("[0-9]", text):
         return found
-    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             d = _DIGITS.sub("", m[0])
@@ -94,7 +100,7 @@ def plausible(kind: str, value: str) -> bool:
         return re.fullmatch(r"[^\s@]{1,64}\s?@\s?[^\s@]+\.[^\s@.]{2,}", value) is not None
     if kind == "ip":
         parts = re.split(r"\s?\.\s?", value)
-        return len(parts) == 4 and all(p.isdecimal() and p.isascii() and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(p.isdecimal() and p.isascii() and octet(p) for p in parts)
     if kind == "card":
         return 12 <= len(d) <= 19 and luhn(d) and re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", value) is not None
     return 10 <= len(d) <= 15 and re.fullmatch(r"\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9 .-]+", value) is not None

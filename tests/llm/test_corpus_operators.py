@@ -286,6 +286,11 @@ def test_pii(spark, network):
     assert pii.detect(table(spark, cases).limit(0), network).count() == 0
 
 
+def test_long_digits():
+    text = "9" * 6000 + ".1.1.1 00010.0.0.1"
+    assert pii.base_spans(text) == [("ip", 6007, 6018)]
+
+
 def test_pii_windows():
     text = "x" * 300 + "5" + "y" * 300 + "a@b.c"
     starts = pii.windows_of(text)
