@@ -27,6 +27,7 @@ gives no file and an empty result; texts are encoded whole; other columns are ig
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -127,54 +128,74 @@ class Reader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+#: The split that a tokenizer has to name for its words to be encoded on their own, and the same for Latin-1 in lower case.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LATIN = "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+END = "</w>"
+
+
 class Encoder:
     """Encodes texts with a tokenizers file, keeping the ids of words seen before.
 
-    In a text of Latin-1 characters without special tokens or odd white space, the words between
-    spaces are encoded independently by a tokenizer that drops white space; any other text, and any
-    other tokenizer, is encoded as a whole.
+    A tokenizer that lower-cases, drops white space and splits by SPLIT encodes each word on its own,
+    the last id of each being one of a word's end. In a text of Latin-1 characters without special
+    tokens or odd white space the words are told here, and new ones are encoded many at a time, one a
+    line. Any other text, and any other tokenizer, is encoded as a whole.
     """
 
     def __init__(self, path: str, most_words: int = 400_000) -> None:
         import json
-        import re
 
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
-        split = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        norm = (made.get("normalizer") or {}).get("normalizers") or []
-        known = {"NFC", "Lowercase", "Replace"} >= {x["type"] for x in norm}
-        self.by_word = bool(norm) and known and split[0].get("type") == "Split" and split[0].get("behavior") == "Removed" and split[0].get("invert") is True
+        split = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        norm = {x["type"] for x in (made.get("normalizer") or {}).get("normalizers") or []}
+        self.by_word = norm == {"NFC", "Lowercase", "Replace"} and split.get("behavior") == "Removed" and split.get("invert") is True and split.get("pattern") == {"Regex": SPLIT} and made["model"].get("end_of_word_suffix") == END
         self.marks = [x["content"] for x in made.get("added_tokens", [])]
         self.odd = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]|[^\x00-\xff]")
-        self.most, self.words = most_words, {}
+        self.words_of = re.compile(LATIN).findall
+        self.ends = np.zeros(self.vocabulary, bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(END)]] = True
+        # Two generations of words: what is asked for moves to the newer, the older is dropped when that is full.
+        self.most, self.new, self.old = most_words, {}, {}
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def learn(self, words: list[str]) -> None:
+        """Ids of words, as bytes."""
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some):
+                data, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.new.update(zip(some, [data[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+            else:
+                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    self.new[w] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
-        whole = [i for i, t in enumerate(texts) if not self.by_word or self.odd.search(t) or any(m in t for m in self.marks)]
+        whole = {i for i, t in enumerate(texts) if not self.by_word or self.odd.search(t) or any(m in t for m in self.marks)}
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         for i in whole:
             out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        skip, known = set(whole), self.words
-        for i, t in enumerate(texts):
-            if i in skip:
-                continue
-            words = t.split()
-            new = [w for w in set(words) if w not in known]
-            if new:
-                if len(known) + len(new) > self.most:
-                    known.clear()
-                    new = list(set(words))
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            out[i] = np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        words = [None if i in whole else self.words_of(t.lower()) for i, t in enumerate(texts)]
+        found = [None if w is None else list(map(self.new.get, w)) for w in words]
+        missing = {w for own, got in zip(words, found, strict=True) if got and None in got for w, g in zip(own, got, strict=True) if g is None}
+        known = {w: self.old[w] for w in missing if w in self.old}
+        self.new.update(known)
+        self.learn([w for w in missing if w not in known])
+        for i, got in enumerate(found):
+            if got is not None:
+                out[i] = np.frombuffer(b"".join(map(self.new.__getitem__, words[i]) if None in got else got), "<u4")
         return out
 
 
