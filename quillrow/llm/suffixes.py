@@ -37,7 +37,9 @@ from quillrow.llm import common
 
 #: Bytes of the windows of the sieve, tokens of a suffix, bytes worked on at once.
 GRAM, TOKENS, PIECE = 256, 2, 1 << 20
-#: Suffixes of a bucket, about, and rows of a list that is small enough to be broadcast.
+#: Rows that are sorted at once.
+SHORT = 1 << 16
+#: Suffixes of a bucket, about, and rows and list items (of 16 to 40 bytes) that are few enough to be broadcast.
 BUCKET, MOST_BROADCAST = 1_000_000, 400_000
 
 _BYTES = np.random.default_rng(400).integers(1, 1 << 64, 256, np.uint64)
@@ -125,8 +127,8 @@ def tokens(data: bytes, starts: np.ndarray, span: int) -> np.ndarray:
 def multikey_sort(keys: np.ndarray) -> np.ndarray:
     """Order of rows of tokens by three-way partitioning: on a token, then the equal part on the next.
 
-    A part is split by the token of a pivot into less, equal and greater; short parts are sorted
-    outright.
+    A part is split by the token of a pivot into less, equal and greater; a short part is sorted by
+    all its tokens at once.
     """
     order = np.arange(len(keys))
     todo = [(0, len(keys), 0)]
@@ -135,14 +137,10 @@ def multikey_sort(keys: np.ndarray) -> np.ndarray:
         if b - a < 2 or depth == keys.shape[1]:
             continue
         own = order[a:b]
-        k = keys[own, depth]
-        if b - a <= 1 << 16:
-            s = np.argsort(k, kind="stable")
-            order[a:b], k = own[s], k[s]
-            cut = np.flatnonzero(np.diff(k)) + 1
-            ends = np.concatenate([[0], cut, [len(k)]])
-            todo += [(a + int(i), a + int(j), depth + 1) for i, j in zip(ends[:-1], ends[1:], strict=True) if j - i > 1]
+        if b - a <= SHORT:
+            order[a:b] = own[np.lexsort(keys[own, depth:].T[::-1])]
             continue
+        k = keys[own, depth]
         pivot = np.sort(k[:: max(1, len(k) // 63)])[len(k[:: max(1, len(k) // 63)]) // 2]
         less, same = np.flatnonzero(k < pivot), np.flatnonzero(k == pivot)
         order[a:b] = own[np.concatenate([less, same, np.flatnonzero(k > pivot)])]
@@ -157,7 +155,7 @@ def _text(docs: DataFrame) -> DataFrame:
 
 
 def _joined(left: DataFrame, right: DataFrame, rows: int, how: str = "inner") -> DataFrame:
-    """A join on uid that broadcasts the right side only if it has few rows."""
+    """A join on uid that broadcasts the right side only if it has few rows and list items together."""
     return left.join(F.broadcast(right) if rows <= MOST_BROADCAST else right, "uid", how)
 
 
@@ -191,8 +189,8 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
     whole = some.join(twins.where("c > 1").select("least", "whole"), ["least", "whole"], "left_semi").groupBy("uid", "first").agg(F.max("n").alias("n"))
     single = twins.where("c = 1 or t").select("least").distinct()
     # Stretches whose suffixes are sorted: those without a twin, and one of each sort of twins that share their hash.
-    sorted_ = common.written(twins.join(single, "least", "left_semi").select("s.uid", "s.first", "s.n").groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("parts"), F.sum("n").alias("n")), "sorted")
-    size = sorted_.agg(F.count("*").alias("texts"), F.sum("n").alias("n")).first()
+    sorted_ = common.written(common.keyed(twins.join(single, "least", "left_semi").select("s.uid", "s.first", "s.n").groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("parts"), F.sum("n").alias("n")), "number"), "sorted")
+    size = sorted_.agg((F.count("*") + F.coalesce(F.sum(F.size("parts")), F.lit(0))).alias("items"), F.sum("n").alias("n")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["n"] or 0) // BUCKET))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +199,13 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
             for r in batch.to_pylist():
                 s = np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in r["parts"]])
                 t = tokens(r["text"].encode("utf-8", "surrogatepass"), s, span).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*[pa.array(t[:, k].copy()) for k in range(TOKENS)], pa.array([r["uid"]] * len(s), pa.binary()), pa.array(s)], names=[*names, "uid", "start"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(t[:, k].copy()) for k in range(TOKENS)], pa.array(np.full(len(s), r["number"])), pa.array(s.astype(np.int32))], names=[*names, "number", "start"])
 
     key = [f"t{k}" for k in range(TOKENS)]
     ddl = ", ".join(f"{k} long" for k in key)
     # One row of each text, whatever the number of its copies.
-    wanted = _joined(texts, sorted_.select("uid", "parts"), size["texts"])
-    made = wanted.mapInArrow(suffixes, f"{ddl}, uid binary, start long").repartitionByRange(parts, *key, "uid", "start")
+    wanted = _joined(texts, sorted_.select("uid", "number", "parts"), size["items"]).select("text", "number", "parts")
+    made = wanted.mapInArrow(suffixes, f"{ddl}, number long, start int").repartitionByRange(parts, *key, "number", "start")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -230,13 +228,26 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
         rows = table.take(pa.array(o[at]))
         yield from rows.append_column("repeated", pa.array(kind[at] == 1)).append_column("edge", pa.array(edge[at])).append_column("bucket", pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32))).combine_chunks().to_batches()
 
-    out = common.written(made.mapInArrow(compared, f"{ddl}, uid binary, start long, repeated boolean, edge boolean, bucket int"), "compared")
+    out = common.written(made.mapInArrow(compared, f"{ddl}, number long, start int, repeated boolean, edge boolean, bucket int"), "compared")
     edges = out.where("edge")  # two rows of a bucket at most
     across = edges.groupBy(*key).agg(F.count_distinct("bucket").alias("buckets")).where("buckets > 1").select(*key)
-    more = edges.where("not repeated").join(across, key, "left_semi").select("uid", "start")
-    starts = out.where("repeated").select("uid", "start").unionByName(more)
-    runs = starts.select("uid", F.col("start").alias("first"), F.lit(1).cast("long").alias("n")).distinct().unionByName(whole)
-    return common.written(runs.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "runs")
+    more = edges.where("not repeated").join(across, key, "left_semi").select("number", "start")
+    starts = out.where("repeated").select("number", "start").unionByName(more).groupBy("number").agg(F.collect_list("start").alias("starts"))
+    run_type = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for x in batch.column("starts"):
+                v = np.unique(x.values.to_numpy())
+                first = np.flatnonzero(np.concatenate([[True], np.diff(v) != 1]))
+                made.append([{"first": int(v[i]), "n": int(j - i)} for i, j in zip(first, np.append(first[1:], len(v)), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(made, run_type)], names=["number", "runs"])
+
+    # The starts of one text are at most its bytes; runs of them are few.
+    each = starts.mapInArrow(packed, "number long, runs array<struct<first:long,n:long>>").join(sorted_.select("number", "uid"), "number").select("uid", "runs")
+    twinned = whole.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    return common.written(each.unionByName(twinned).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
 
 
 def covered(runs: list[dict], span: int) -> list[tuple[int, int]]:
@@ -258,7 +269,8 @@ def removed(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
     common.prepare(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     runs = repeats(docs, span, gram)
-    all_ = _joined(_text(docs), runs, runs.count(), "left")
+    items = runs.agg((F.count("*") + F.coalesce(F.sum(F.size("runs")), F.lit(0))).alias("n")).first()["n"]
+    all_ = _joined(_text(docs), runs, items, "left")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
