@@ -39,8 +39,8 @@ from quillrow.llm import common
 GRAM, TOKENS, PIECE = 256, 2, 1 << 20
 #: Rows that are sorted at once.
 SHORT = 1 << 16
-#: Suffixes of a bucket, about, and rows and list items (of 16 to 40 bytes) that are few enough to be broadcast.
-BUCKET, MOST_BROADCAST = 1_000_000, 400_000
+#: Suffixes of a bucket, about.
+BUCKET = 1_000_000
 
 _BYTES = np.random.default_rng(400).integers(1, 1 << 64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -154,11 +154,6 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c != "text"], text.alias("text"), F.unhex(F.md5(text)).alias("uid"))
 
 
-def _joined(left: DataFrame, right: DataFrame, rows: int, how: str = "inner") -> DataFrame:
-    """A join on uid that broadcasts the right side only if it has few rows and list items together."""
-    return left.join(F.broadcast(right) if rows <= MOST_BROADCAST else right, "uid", how)
-
-
 def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
     """(uid, runs) of the texts with repeats: runs are (first suffix, number of suffixes) that repeat."""
     spark = docs.sparkSession
@@ -190,8 +185,8 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
     single = twins.where("c = 1 or t").select("least").distinct()
     # Stretches whose suffixes are sorted: those without a twin, and one of each sort of twins that share their hash.
     sorted_ = common.written(common.keyed(twins.join(single, "least", "left_semi").select("s.uid", "s.first", "s.n").groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("parts"), F.sum("n").alias("n")), "number"), "sorted")
-    size = sorted_.agg((F.count("*") + F.coalesce(F.sum(F.size("parts")), F.lit(0))).alias("items"), F.sum("n").alias("n")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["n"] or 0) // BUCKET))
+    size = sorted_.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f"t{k}" for k in range(TOKENS)]
@@ -204,7 +199,7 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
     key = [f"t{k}" for k in range(TOKENS)]
     ddl = ", ".join(f"{k} long" for k in key)
     # One row of each text, whatever the number of its copies.
-    wanted = _joined(texts, sorted_.select("uid", "number", "parts"), size["items"]).select("text", "number", "parts")
+    wanted = texts.join(sorted_.select("uid", "number", "parts"), "uid").select("text", "number", "parts")
     made = wanted.mapInArrow(suffixes, f"{ddl}, number long, start int").repartitionByRange(parts, *key, "number", "start")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +264,7 @@ def removed(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
     common.prepare(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     runs = repeats(docs, span, gram)
-    items = runs.agg((F.count("*") + F.coalesce(F.sum(F.size("runs")), F.lit(0))).alias("n")).first()["n"]
-    all_ = _joined(_text(docs), runs, items, "left")
+    all_ = _text(docs).join(runs, "uid", "left")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,7 +102,6 @@ def test_suffixes(spark, texts):
 
 def test_suffix_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 256)
-    monkeypatch.setattr(suffixes, "MOST_BROADCAST", 0)
     r = random.Random(2)
     raw = "".join(r.choice("abcd") for _ in range(3000))
     cases = [raw, raw[500:1700] + "zz", raw[1000:1100] + "q" + raw[1050:1500]]
