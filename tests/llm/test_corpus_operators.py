@@ -321,6 +321,26 @@ def test_pieces(spark, texts):
     assert pieces.encode(own.limit(0), path).count() == 0
 
 
+def test_pieces_decode_every_sample(spark, monkeypatch):
+    """Without ids, too, each sample of a text of any length has to decode."""
+    path = tokenizers.path("piece_bpe_32k.model")
+    real = pieces.segmentations
+
+    def one_wrong(texts, keys, v, k, seed):
+        for key, (ids, found) in zip(keys, real(texts, keys, v, k, seed), strict=True):
+            if key is not None and key % 2:
+                x, *rest = found[-1]
+                found[-1] = (x[:-1], *rest)
+            yield ids, found
+
+    cases = [t for n in (3, 200, 4000) for t in [" ".join(f"word{i} of the river" for i in range(n))] * 2]
+    own = table(spark, cases)
+    rows = {r.doc_id: r for r in pieces.encode(own, path, with_ids=False).collect()}
+    assert all(rows[i].decodes and len(rows[i].samples) == 2 for i in range(6)) and min(rows[i].samples[0].n_pieces for i in (2, 4)) > 64
+    monkeypatch.setattr(pieces, "segmentations", one_wrong)
+    assert {r.doc_id: r.decodes for r in pieces.encode(own, path, with_ids=False).collect()} == {i: i % 2 == 0 for i in range(6)}
+
+
 def test_pieces_distribution():
     """First samples follow the lattice's distribution, and inclusion scores weigh without bias."""
     v = pieces.vocabulary(tokenizers.path("piece_bpe_32k.model"), 0.5)
