@@ -46,6 +46,10 @@ CHUNK = 1 << 15
 PIECE = 1 << 16
 #: Segments at most; 8 of 64 bits meet under 32 equal bits.
 MOST_SEGMENTS = 8
+#: Least similarity of the shingle sets that deduplicated() links, as a fraction.
+LEAST = (4, 5)
+#: Pairs of a group that are checked one by one at once; a group of more gives stars first.
+FEW = 64
 
 
 def references() -> np.ndarray:
@@ -60,30 +64,43 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str | None, size: int) -> tuple[int, int]:
-    """Bit is 1 if set in over half of the shingles' XXH64 (seed 42), repeats included.
-
-    The second number is made likewise of further bits of each shingle.
-    """
+def hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the shingles, repeats included, some at a time; none of a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, 0
-    line = b" ".join(words)
+        return
+    line, hashed = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= size:
-        h = np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
-        return int(h[0]), int(mixed(h)[0])
+        yield np.array([hashed(line, 42)], "<u8")
+        return
     space = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     start = np.concatenate([[0], space + 1])[: len(words) - size + 1].tolist()
     end = np.concatenate([space, [len(line)]])[size - 1 :].tolist()
-    ones, hashed = np.zeros(128, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(start), PIECE):
-        h = np.array([hashed(line[i:j], 42) for i, j in zip(start[at : at + PIECE], end[at : at + PIECE], strict=True)], "<u8")
+        yield np.array([hashed(line[i:j], 42) for i, j in zip(start[at : at + PIECE], end[at : at + PIECE], strict=True)], "<u8")
+
+
+def majority(parts: Iterator[np.ndarray]) -> tuple[int, int]:
+    """Bit is 1 if set in over half of the hashes; the second number is made likewise of further bits of each."""
+    ones, n = np.zeros(128, np.int64), 0
+    for h in parts:
+        n += len(h)
         for k, x in enumerate((h, mixed(h))):
             ones[64 * k : 64 * k + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    first, second = np.packbits(2 * ones > len(start), bitorder="little").view("<u8").tolist()
+    first, second = np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
     return first, second
 
 
+def fingerprint(text: str | None, size: int) -> tuple[int, int]:
+    """Both words of bits of a text's shingles, repeats included; zero of a text without words."""
+    return majority(hashes(text, size))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes(text, size)]))
+
+
 def segment_masks(segments: int) -> np.ndarray:
     """Masks that cut 64 bits into so many segments."""
     return np.array([sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), segments)], np.uint64)
@@ -142,7 +159,12 @@ def fingerprints(docs: DataFrame, size: int = 4, wide: bool = False) -> DataFram
 
 
 def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None = None, agree: int | None = None) -> DataFrame:
-    """Links (a, b) between the reps of distinct fingerprints (fp, more, rep): a star of each group's components.
+    """Links (a, b) between the reps of fingerprints (fp, more, rep): a star of each group's components.
+
+    Nodes may also have n, the size of their set of shingles: then pairs whose sizes alone keep them
+    below LEAST are left out, and all others returned, but in groups of more than FEW pairs, which give
+    stars and a link of each of their nodes with itself. If they have label, every pair of different
+    labels is returned.
 
     Without `segments` and `agree`, every pair within so many bits meets. With them, pairs that differ
     in `segments - agree` bits or fewer always meet, and others mostly while bits fall together.
@@ -151,10 +173,11 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     segments = segments or segments_for(nodes.count(), within)
     choices = list(combinations(range(segments), agree or segments - within))
+    own_columns = ["fp", "more", "rep", *[c for c in ("n", "label") if c in nodes.columns]]
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs, masks = references(), segment_masks(segments)
-        schema = pa.schema([("meet", pa.int64()), ("fp", pa.int64()), ("more", pa.int64()), ("rep", pa.int64())])
+        schema = pa.schema([(c, pa.int64()) for c in ("meet", *own_columns)])
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
             table = distance_table(fp.view(np.uint64), refs, masks)
@@ -162,35 +185,49 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
             words = np.array([[xxhash.xxh64_intdigest(t.tobytes(), s) for s, t in enumerate(row)] for row in table], np.uint64).reshape(-1, segments)
             for c, chosen in enumerate(choices):
                 meet = mixed(np.bitwise_xor.reduce([mixed(words[:, s] + np.uint64(s)) for s in chosen]) + np.uint64(c + 1))
-                yield pa.RecordBatch.from_pydict({"meet": meet.view(np.int64), "fp": fp, "more": batch.column("more"), "rep": batch.column("rep")}, schema=schema)
+                yield pa.RecordBatch.from_pydict({"meet": meet.view(np.int64), **{c: batch.column(c) for c in own_columns}}, schema=schema)
 
     # Computed twice, for the counts and for the pairs, rather than stored.
-    rows = nodes.mapInArrow(meeting, "meet long, fp long, more long, rep long")
+    rows = nodes.select(*own_columns).mapInArrow(meeting, ", ".join(f"{c} long" for c in ("meet", *own_columns)))
     long = common.written(rows.groupBy("meet").count().where(F.col("count") > BLOCK).select("meet", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "long")
-    own = F.pmod(F.xxhash64("fp", "more"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("fp", "more", "rep"), F.col("blocks")).cast("int")
     # Block i of b meets itself and every other block once: pairs (i, j), i <= j.
     paired = rows.join(_small(long, long.count()), "meet", "left").withColumn("own", own)
-    short = paired.where(F.col("blocks").isNull()).select("meet", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "fp", "more", "rep")
+    short = paired.where(F.col("blocks").isNull()).select("meet", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), *own_columns)
     split = paired.where(F.col("blocks").isNotNull()).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    split = split.select("meet", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.cast("int").alias("side"), "fp", "more", "rep")
+    split = split.select("meet", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.cast("int").alias("side"), *own_columns)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         held: list[pa.RecordBatch] = []
 
-        def found(rows: pa.Table) -> pa.RecordBatch | None:
-            col = {c: rows.column(c).to_numpy() for c in ("meet", "i", "j", "side", "fp", "more", "rep")}
+        def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            col = {c: rows.column(c).to_numpy() for c in ("meet", "i", "j", "side", *own_columns)}
             new = np.any([np.diff(col[c]) != 0 for c in ("meet", "i", "j")], axis=0)
             group = np.concatenate([[0], np.cumsum(new)])
             u, v = [], []
             for x, y in linked(col["fp"].view(np.uint64), col["more"].view(np.uint64), group, col["side"], within, wide):
-                u.append(col["rep"][x])
-                v.append(col["rep"][y])
-            if not u:
-                return None
-            a, b = local_stars(np.concatenate(u), np.concatenate(v))
-            return pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
+                if "n" in col:
+                    ok = LEAST[1] * np.minimum(col["n"][x], col["n"][y]) >= LEAST[0] * np.maximum(col["n"][x], col["n"][y])
+                    x, y = x[ok], y[ok]
+                if "label" in col:
+                    ok = col["label"][x] != col["label"][y]
+                    x, y = col["rep"][x[ok]], col["rep"][y[ok]]
+                    if len(x):
+                        yield pa.RecordBatch.from_pydict({"a": np.maximum(x, y), "b": np.minimum(x, y)}, schema=schema)
+                elif len(x):
+                    u.append(x)
+                    v.append(y)
+            if u:
+                x, y = np.concatenate(u), np.concatenate(v)
+                many = np.bincount(group[x])[group[x]] > FEW if "n" in col else np.ones(len(x), bool)
+                u, v = col["rep"][x], col["rep"][y]
+                a, b = local_stars(u[many], v[many])
+                if "n" in col:
+                    own = np.unique(np.concatenate([u[many], v[many]]))
+                    a, b = np.concatenate([a, np.maximum(u, v)[~many], own]), np.concatenate([b, np.minimum(u, v)[~many], own])
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
 
         for batch in batches:
             held.append(batch)
@@ -201,11 +238,11 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
             keys = [whole.column(c).to_numpy() for c in ("meet", "i", "j")]
             other = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
             cut = int(other[-1]) + 1 if len(other) else 0
-            if cut and (out := found(whole.slice(0, cut))) is not None:
-                yield out
+            if cut:
+                yield from found(whole.slice(0, cut))
             held = whole.slice(cut).to_batches()
-        if held and (out := found(pa.Table.from_batches(held))) is not None:
-            yield out
+        if held:
+            yield from found(pa.Table.from_batches(held))
 
     met = short.unionByName(split).repartition(parts, "meet", "i", "j").sortWithinPartitions("meet", "i", "j")
     return met.mapInArrow(compared, "a long, b long")
@@ -225,18 +262,77 @@ def near_duplicates(docs: DataFrame, size: int = 4, within: int = 4, wide: int |
     return fps.join(known, ["fp", "more"], "left")
 
 
-def deduplicated(docs: DataFrame, size: int = 5, within: int = 13, wide: int = 24, segments: int = 12, agree: int = 2) -> DataFrame:
+def shingled(docs: DataFrame, size: int) -> DataFrame:
+    """row_key and doc_id with the size n and the digest of the set of distinct shingles, and the set's fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for t in batch.column("text"):
+                x = shingle_set(t.as_py(), size)
+                made.append((*np.array(majority(iter([x])), np.uint64).view(np.int64).tolist(), len(x), xxhash.xxh128_hexdigest(x.tobytes())))
+            fp, more, n, digest = zip(*made, strict=True) if made else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (fp, more, n)), pa.array(digest, pa.string())], names=["row_key", "doc_id", "fp", "more", "n", "digest"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return docs.select("row_key", "doc_id", "text").mapInArrow(run, f"row_key {kinds['row_key']}, doc_id {kinds['doc_id']}, fp long, more long, n long, digest string")
+
+
+def similar(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of row_keys whose texts' shingle sets have a Jaccard similarity of LEAST or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
+
+    out = pairs.where("a <> b")
+    wanted = out.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
+    sets = rows.select("row_key", "text").join(wanted, "row_key", "left_semi").mapInArrow(run, "key long, s array<long>")
+    for c in "ab":
+        out = out.join(sets.select(F.col("key").alias(c), F.col("s").alias(f"s{c}")), c)
+    # i / (na + nb - i) >= p / q without division.
+    p, q = LEAST
+    both = F.size(F.array_intersect("sa", "sb")).cast("long")
+    return out.where(both * (p + q) >= (F.size("sa") + F.size("sb")).cast("long") * p).select("a", "b")
+
+
+def candidates(nodes: DataFrame, within: int, wide: int, segments: int, agree: int) -> DataFrame:
+    """Links of nodes that meet by segments of their first word or of their second."""
+    turned = nodes.withColumns({"fp": F.col("more"), "more": F.col("fp")})
+    return links(nodes, within, wide, segments, agree).unionByName(links(turned, within, wide, segments, agree))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, within: int = 24, wide: int = 38, segments: int = 12, agree: int = 2) -> DataFrame:
     """`docs` with one row of each component: of the smallest doc_id and, among its repeated rows, any one.
 
-    A similarity of 0.8 between sets of shingles is a cosine of about 0.89, at which 19 of 128 bits
-    differ on average; `wide` leaves room for the spread. Rows without a doc_id that reach none with
-    one are kept as one.
+    Texts link if their sets of shingles have a Jaccard similarity of LEAST or more, counted exactly
+    on the candidates that the fingerprints of the sets give. A similarity of 0.8 is a cosine of about
+    0.89, at which 19.4 of 128 bits differ on average with a deviation of 4.1: `wide` is 4.5 deviations
+    above it and `within`, for each word, 5. Pairs meet in two equal segments of either word.
+
+    Of groups with many pairs stars are checked first; only pairs that these links have not joined are
+    then checked one by one, so a large group of near copies doesn't cost its square. Rows without a
+    doc_id are kept only where no row of their component has one.
     """
     common.prepare(docs.sparkSession)
     rows = common.written(common.keyed(docs), "rows")
-    found = near_duplicates(rows.select("doc_id", "row_key", "text"), size, within, wide, segments, agree)
-    first = common.written(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("s")).select("s.row_key"), "first")
-    return rows.join(_small(first, first.count()), "row_key", "left_semi").select(*docs.columns)
+    sets = common.written(shingled(rows, size), "shingled")
+    known = common.written(sets.groupBy("digest").agg(F.min(F.struct("row_key", "fp", "more", "n")).alias("s")).select("digest", F.col("s.row_key").alias("rep"), "s.fp", "s.more", "s.n"), "known")
+    nodes = known.drop("digest")
+    met = common.written(candidates(nodes, within, wide, segments, agree).distinct(), "met")
+    links_ = common.written(similar(met, rows, size), "similar")
+    crowded = met.where("a = b").select(F.col("a").alias("rep"))
+    if crowded.limit(1).count():
+        first = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
+        left = common.written(nodes.join(crowded, "rep", "left_semi").join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "left")
+        rest = common.written(candidates(left, within, wide, segments, agree).distinct(), "rest")
+        links_ = links_.unionByName(common.written(similar(rest, rows, size), "similar"))
+    reached = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "component_id")
+    placed = known.join(reached, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("s")
+    kept = common.written(sets.select("digest", "doc_id", "row_key").join(placed, "digest").groupBy("component_id").agg(least).select("s.row_key"), "first")
+    return rows.join(_small(kept, kept.count()), "row_key", "left_semi").select(*docs.columns)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:

@@ -72,6 +72,31 @@ def test_simhash(spark, texts):
     assert simhash.near_duplicates(own.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_deduplicated_exactly(spark, monkeypatch):
+    """The rows kept are those of the components of all pairs with an exact Jaccard of 0.8 or more."""
+    r = random.Random(12)
+    stock = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(40):
+        base = [r.choice(stock) for _ in range(r.randrange(60, 400))]
+        texts.append(" ".join(base))
+        for edits in (len(base) // 55, len(base) // 46, len(base) // 42, len(base) // 36, len(base) // 28):
+            near = list(base)
+            for k in r.sample(range(len(near)), edits):
+                near[k] = r.choice(stock)
+            texts.append(" ".join(near))
+    # One shingle often repeated makes equal fingerprints of unlike sets.
+    texts += ["same " * 400 + " ".join(r.choice(stock) for _ in range(30)) for _ in range(2)]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j]]
+    links = [(i, j) for i, j, s in pairs if s >= 0.8]
+    assert len([s for *_, s in pairs if 0.8 <= s < 0.85]) > 20 and len([s for *_, s in pairs if 0.7 <= s < 0.8]) > 20
+    want = {i for i, c in groups(links, range(len(texts))).items() if i == c}
+    for few in (64, 2):
+        monkeypatch.setattr(simhash, "FEW", few)
+        assert {x.doc_id for x in simhash.deduplicated(table(spark, texts)).select("doc_id").collect()} == want
+
+
 def test_simhash_blocks(spark, monkeypatch):
     """Groups longer than a block keep all their links; every number of segments finds the same ones."""
     r = random.Random(5)
