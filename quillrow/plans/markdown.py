@@ -80,9 +80,9 @@ def doubled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doubled_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with every character doubled, one put into each seventh document."""
+    """Words with every character doubled, of whole texts; one is put into each seventh document."""
     docs = I.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("TToottaall "), "text")).otherwise(F.col("text")).alias("text"))
-    return doubled.glyphs(docs).where(F.col("pos") == 0)
+    return doubled.glyphs(docs)
 
 
 def shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

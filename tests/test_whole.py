@@ -24,3 +24,15 @@ def test_statements_of_all_customers(spark, tmp_path):
             said = f"{price:.2f}"
             want |= {(c, n + 1, 0, str(k)), (c, n + 1, 1, f"{said} {said}" if k % 5 == 0 else said), (c, n + 1, 2, status)}
     assert got == want
+
+
+def test_doubled_glyphs_of_whole_texts(spark, tmp_path):
+    texts = ["some AAmmoouunntt here", "plain book", "at last 11223344", None, "aaaa zz", "", "x\n**NNeett** iinn", "again"]
+    got = {(r.doc_id, r.pos, r.word, r.painted_once) for r in run(spark, tmp_path, "doubled_glyphs", documents=([(i, t, 0) for i, t in enumerate(texts)], DOCS))}
+    want = set()
+    for i, t in enumerate(texts):
+        for n, w in enumerate((("TToottaall " if i % 7 == 0 else "") + t).split() if t is not None else []):
+            w = re.sub(r"[*_`|#]", "", w)
+            if len(w) >= 4 and w[::2] == w[1::2] and len(set(w)) > 1:
+                want.add((i, n, w, w[::2]))
+    assert got == want and len(want) == 6
