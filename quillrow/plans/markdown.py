@@ -75,8 +75,8 @@ f AS (SELECT source, line_key, pages, first_page, first_text FROM o JOIN s USING
 
 
 def doubled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that documents say twice at once."""
-    return doubled.at_once(I.table(spark, sf_dir, "documents"))
+    """Runs of 1 to 64 words that documents say twice at once."""
+    return doubled.repeated(I.table(spark, sf_dir, "documents"))
 
 
 def doubled_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:

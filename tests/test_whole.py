@@ -1,5 +1,6 @@
 """Queries of the catalog over whole tables, against plain loops on small fixtures."""
 
+import random
 import re
 
 import __spark_entry__ as entry
@@ -36,3 +37,22 @@ def test_doubled_glyphs_of_whole_texts(spark, tmp_path):
             if len(w) >= 4 and w[::2] == w[1::2] and len(set(w)) > 1:
                 want.add((i, n, w, w[::2]))
     assert got == want and len(want) == 6
+
+
+def test_doubled_words_of_all_lengths(spark, tmp_path):
+    r = random.Random(7)
+    texts = [None, "", "total total a a 5 5 *5*", "net sales net sales net sales", "of of of of"]
+    for n in [1, 2, 3, 31, 63, 64, 65, 66]:
+        run_ = [f"w{r.randrange(500)}" for _ in range(n)]
+        texts.append(" ".join(["lead", *run_, *run_, "tail"]))
+    texts += [" ".join(r.choice("ab cd 12".split()) for _ in range(r.randrange(1, 200))) for _ in range(30)]
+    want = set()
+    for i, t in enumerate(texts):
+        own, at = [w for w in (re.sub(r"[*_`|#]", "", x) for x in (t or "").split()) if w], 0
+        while at < len(own):
+            n = next((n for n in range(64, 0, -1) if len(own) >= at + 2 * n and own[at : at + n] == own[at + n : at + 2 * n] and (n > 1 or len(own[at]) >= 4 or re.search("[0-9]", own[at]))), 0)
+            if n:
+                want.add((i, at, " ".join(own[at : at + n])))
+            at += max(1, 2 * n)
+    assert {(x.doc_id, x.pos, x.run) for x in run(spark, tmp_path, "doubled_words", documents=([(i, t, 0) for i, t in enumerate(texts)], DOCS))} == want
+    assert {1, 2, 3, 31, 63, 64} <= {len(x[2].split()) for x in want}
