@@ -18,6 +18,7 @@ result; other columns are ignored or, where the text is redacted, carried.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -283,10 +284,10 @@ def windows_of(text: str) -> list[int]:
     return sorted({int(k) * step for d in (0, 1, 2) for k in np.unique(first + d) if k * step < len(text)})
 
 
-def padded(text: str, start: int) -> np.ndarray:
+def padded(text: str, start: int, size: int = WINDOW) -> np.ndarray:
     """Classes of a window, padded beyond the text."""
-    c = classes(text[start : start + WINDOW])
-    return np.concatenate([c, np.full(WINDOW - len(c), N_CLASSES)])
+    c = classes(text[start : start + size])
+    return np.concatenate([c, np.full(size - len(c), N_CLASSES)])
 
 
 def train(labelled: list[tuple[str, list[tuple[str, int, int]]]], seed: int = 3, epochs: int = 10, batch: int = 64, rate: float = 0.02) -> Network:
@@ -350,19 +351,18 @@ def reconciled(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int,
     return out[::-1]
 
 
-def network_spans(texts: list[str], net: Network, least: float = 0.8) -> list[list[tuple[str, int, int]]]:
-    """Confident spans of each text, by the network alone."""
-    where = [(i, s) for i, t in enumerate(texts) for s in windows_of(t)]
-    found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
-    for at in range(0, len(where), 2048):
-        part = where[at : at + 2048]
-        x = np.array([padded(texts[i], s) for i, s in part]).T
+def decoded(texts: list[str], where: list[tuple[int, int]], size: int, net: Network) -> Iterator[tuple[int, tuple[str, int, int, float], bool]]:
+    """Spans (kind, start, end, confidence) of windows (text, start) of one size, and whether the window's edge may cut them."""
+    at_once = max(1, 2048 * WINDOW // size)
+    for at in range(0, len(where), at_once):
+        part = where[at : at + at_once]
+        x = np.array([padded(texts[i], s, size) for i, s in part]).T
         emit = net.emissions(x)[0].astype(np.float64)
         path, p = net.viterbi(emit), net.marginals(emit)[0]
         sure = np.take_along_axis(p, path[:, :, None], 2)[:, :, 0]
         for w in np.flatnonzero((path > 0).any(axis=0)):
             i, s = part[w]
-            n = min(WINDOW, len(texts[i]) - s)
+            n = min(size, len(texts[i]) - s)
             y, t = path[:n, w], 0
             while t < n:
                 if y[t] == 0:
@@ -372,10 +372,39 @@ def network_spans(texts: list[str], net: Network, least: float = 0.8) -> list[li
                 e = t + 1
                 while e < n and y[e] == 2 * kind + 2:
                     e += 1
-                # A span that a window's edge may cut is left to the next window.
-                if not (t == 0 and s > 0) and not (e == n and s + n < len(texts[i])):
-                    found[i].append((KINDS[kind], s + t, s + e, float(sure[t:e, w].mean())))
+                cut = (t == 0 and s > 0) or (e == n and s + n < len(texts[i]))
+                yield i, (KINDS[kind], s + t, s + e, float(sure[t:e, w].mean())), cut
                 t = e
+
+
+def network_spans(texts: list[str], net: Network, least: float = 0.8) -> list[list[tuple[str, int, int]]]:
+    """Confident spans of each text, by the network alone.
+
+    A piece that a window's edge cuts, and that no whole span holds, is read again in the windows of
+    twice the size that meet it, until nothing is cut: a span is found whatever its length and place.
+    """
+    where, size = [(i, s) for i, t in enumerate(texts) for s in windows_of(t)], WINDOW
+    found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+    while where:
+        cut: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for i, span, edge in decoded(texts, where, size, net):
+            if edge:
+                cut[i].append(span[1:3])
+            else:
+                found[i].append(span)
+        size, again = 2 * size, set()
+        for i, pieces in enumerate(cut):
+            if not pieces:
+                continue
+            # The furthest end of the whole spans that start at or before each start.
+            whole = sorted({x[1:3] for x in found[i]})
+            starts, ends = [x[0] for x in whole], np.maximum.accumulate([x[1] for x in whole]) if whole else []
+            step = size // 2
+            for a, b in set(pieces):
+                k = bisect_right(starts, a)
+                if not k or ends[k - 1] < b:
+                    again |= {(i, j * step) for j in range(max(0, a // step - 1), (b - 1) // step + 1)}
+        where = sorted(again)
     return [[(k, a, b) for k, a, b, p in reconciled(f) if p >= least] for f in found]
 
 

@@ -323,6 +323,27 @@ def test_pii_windows():
     assert pii.windows_of("plain words") == []
 
 
+class Marked(pii.Network):
+    """Calls every stretch of the letter q and @ an address."""
+
+    def emissions(self, x, keep=False):
+        on = (x == pii.classes("q")[0]) | (x == pii.classes("@")[0])
+        before = np.concatenate([np.zeros_like(on[:1]), on[:-1]])
+        tag = np.where(on, np.where(before, pii.TAGS.index("I-email"), pii.TAGS.index("B-email")), 0)
+        return 20.0 * np.eye(len(pii.TAGS))[tag], ()
+
+
+def test_pii_long_spans():
+    """A span of any length is found at each place of the windows' grid, and only once."""
+    net = Marked({"move": np.zeros((len(pii.TAGS), len(pii.TAGS)))})
+    for size in (31, 33, 36, 63, 65, 90, 140, 700):
+        for offset in range(32):
+            texts = ["x" * (at + offset) + "q" * (size - 3) + "@qq" + "x" * after for at, after in ((0, 0), (32, 200), (96, 1), (640, 700))]
+            want = [[("email", t.index("q"), t.index("q") + size)] for t in texts]
+            assert pii.network_spans(texts, net) == want, (size, offset)
+    assert pii.network_spans(["q" * 40 + "@" + "q" * 5000], net) == [[("email", 0, 5041)]]
+
+
 def test_reconciled():
     spans = [("ip", 0, 10, 0.9), ("ip", 0, 10, 0.9), ("phone", 5, 20, 0.9), ("card", 20, 30, 0.9)]
     assert [s[:3] for s in pii.reconciled(spans)] == [("ip", 0, 10), ("card", 20, 30)]
