@@ -56,3 +56,14 @@ def test_doubled_words_of_all_lengths(spark, tmp_path):
             at += max(1, 2 * n)
     assert {(x.doc_id, x.pos, x.run) for x in run(spark, tmp_path, "doubled_words", documents=([(i, t, 0) for i, t in enumerate(texts)], DOCS))} == want
     assert {1, 2, 3, 31, 63, 64} <= {len(x[2].split()) for x in want}
+
+
+def test_batch_contract_asks_for_all(spark, tmp_path):
+    ids = [*range(0, 2500), 2998, 3001, 10**12 + 7]
+    rows = run(spark, tmp_path, "batch_contract", documents=([(i, "", i % 50) for i in ids], DOCS))
+    assert sorted((r.doc_id, r.n_chars) for r in rows if r.error is None) == [(i, i % 50) for i in ids]
+    blocks = {i // 1000 for i in ids}
+    assert {(r.request, r.doc_id, r.n_chars) for r in rows if r.error == "not found"} == {(b, -1 - b, None) for b in blocks}
+    for b in blocks:
+        mine = sorted((r.pos, r.doc_id) for r in rows if r.request == b)
+        assert [p for p, _ in mine] == list(range(len(mine))) and len(mine) <= 1001
