@@ -77,10 +77,10 @@ COMPOSITE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({c[0]}, {c[5]})" for c i
 
 
 def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A word put into documents whole, split by a space, by a cell's edge, after a hyphen and over lines."""
+    """A word in whole documents, put before each text whole, split by a space, by a cell's edge, after a hyphen and over lines."""
     forms = ["re-covery", "re-cov ery", "re- covery", "re-cov|ery", "re-cov\nery"]
     made = F.element_at(F.array(*map(F.lit, forms)), (F.col("doc_id") % 5 + 1).cast("int"))
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x "), made, F.lit(" y")).alias("text"))
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x "), made, F.lit(" y\n"), F.coalesce("text", F.lit(""))).alias("text"))
     return pages.split_words(docs, ["re-covery"])
 
 

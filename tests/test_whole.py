@@ -67,3 +67,12 @@ def test_batch_contract_asks_for_all(spark, tmp_path):
     for b in blocks:
         mine = sorted((r.pos, r.doc_id) for r in rows if r.request == b)
         assert [p for p, _ in mine] == list(range(len(mine))) and len(mine) <= 1001
+
+
+def test_split_words_of_whole_texts(spark, tmp_path):
+    texts = ["a re-cov ery of re- covery", "plain", "re-cov|ery", None, "", "has re-covery", "long " * 3000 + "re-c overy"]
+    got = {(r.doc_id, r.word, r.splits, r.definite) for r in run(spark, tmp_path, "split_words", documents=([(i, t, 0) for i, t in enumerate(texts)], DOCS))}
+    # Of the text: (splits, definite); of the form put before it, by doc_id modulo 5.
+    own, put = {0: (2, 1), 2: (1, 1), 6: (1, 1)}, {1: (1, 1), 2: (1, 0), 3: (1, 1)}
+    both = {i: (own.get(i, (0, 0)), put.get(i % 5, (0, 0))) for i in range(len(texts))}
+    assert got == {(i, "re-covery", a[0] + b[0], a[1] + b[1]) for i, (a, b) in both.items() if a[0] + b[0]}
