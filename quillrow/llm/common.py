@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +80,18 @@ def map_rows(df: DataFrame, rows: Callable[[list[dict]], Iterator[dict] | list[d
     return df.mapInArrow(run, ddl)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles meanwhile: large tables of plain objects have none, and each search reads them all."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def keyed(df: DataFrame, name: str = "row_key") -> DataFrame:
     """Adds a key that tells even equal rows apart. Write the result before reading it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
