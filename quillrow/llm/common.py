@@ -80,6 +80,12 @@ def map_rows(df: DataFrame, rows: Callable[[list[dict]], Iterator[dict] | list[d
     return df.mapInArrow(run, ddl)
 
 
+def boxed(df: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of `df`, except some, as one struct `row`: their names can't clash with an operator's own."""
+    names = [c for c in df.columns if c not in but]
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in names] or [F.lit(None).alias("none")]).alias("row"), *but)
+
+
 @contextmanager
 def uncollected() -> Iterator[None]:
     """No search for reference cycles meanwhile: large tables of plain objects have none, and each search reads them all."""

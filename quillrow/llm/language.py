@@ -18,7 +18,6 @@ table; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +35,6 @@ UND = "und"
 SCALE = 30.0
 #: Characters worked on at once.
 CHUNK = 1 << 16
-_LETTER = re.compile(r"[^\W\d_]")
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -73,7 +71,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score of a whole text."""
-        if not self.langs or text is None or not _LETTER.search(text):
+        if not self.langs or text is None or not any(map(str.isalpha, text)):
             return UND, 0.0
         total, n = np.zeros(len(self.langs)), 0
         for g in ngrams(text):
@@ -221,5 +219,5 @@ def accepted(docs: DataFrame, min_score: float = 0.5, max_rows: int = 1200) -> D
     """The rows of `docs` whose text has a language that the model is sure enough of."""
     common.prepare(docs.sparkSession)
     model = train(docs.select("doc_id", "text", "lang").where(fold() != 1), max_rows)
-    out = predict(docs, model)
-    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*docs.columns)
+    out = predict(common.boxed(docs), model, F.col("row.text"))
+    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select("row.*")

@@ -192,7 +192,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 
     `weights` are shares of the output's tokens, `budget` the output's tokens as a multiple of the
     input's; or `multiples` says by how much each domain's tokens change. Returns the columns of
-    `docs` but its text, with row_key, n_tokens, posterior (in order of the domains), rate and
+    `docs` but its text, with (in place of columns of these names) row_key, n_tokens, posterior (in order of the domains), rate and
     n_copies, a whole number whose mean over seeds is the rate.
     """
     spark = docs.sparkSession
@@ -226,7 +226,7 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, labels: DataFrame, multiples: dict[str, float]) -> DataFrame:
     """`docs`, each row as often as its copies say."""
-    rows = common.written(common.keyed(docs, "mix_key"), "rows")
-    rates = mix(rows.select("doc_id", "mix_key", "text"), labels, multiples=multiples)
+    rows = common.written(common.keyed(common.boxed(docs), "mix_key"), "rows")
+    rates = mix(rows.select("row.doc_id", "mix_key", "row.text"), labels, multiples=multiples)
     copies = common.written(rates.where(F.col("n_copies") > 0).select("mix_key", "n_copies"), "copies")
-    return rows.join(copies, "mix_key").withColumn("copy_", F.explode(F.expr("sequence(1L, n_copies)"))).select(*docs.columns)
+    return rows.join(copies, "mix_key").withColumn("copy", F.explode(F.expr("sequence(1L, n_copies)"))).select("row.*")

@@ -48,6 +48,8 @@ PIECE = 1 << 16
 MOST_SEGMENTS = 8
 #: Least similarity of the shingle sets that deduplicated() links, as a fraction.
 LEAST = (4, 5)
+#: Bands of the shingle sets' least hashes, and hashes of a band: sets of similarity 0.8 share a band with a chance of 0.998.
+BANDS, ROWS = 16, 5
 #: Pairs of a group that are checked one by one at once; a group of more gives stars first.
 FEW = 64
 
@@ -101,6 +103,15 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes(text, size)]))
 
 
+def band_keys(x: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes of a set, under BANDS * ROWS odd multipliers; zeros of an empty set."""
+    if not len(x):
+        return np.zeros(BANDS, np.uint64)
+    by = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.min([(x[at : at + PIECE // 16, None] * by).min(axis=0) for at in range(0, len(x), PIECE // 16)], axis=0)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), n) for n, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
 def segment_masks(segments: int) -> np.ndarray:
     """Masks that cut 64 bits into so many segments."""
     return np.array([sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), segments)], np.uint64)
@@ -161,24 +172,32 @@ def fingerprints(docs: DataFrame, size: int = 4, wide: bool = False) -> DataFram
 def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None = None, agree: int | None = None) -> DataFrame:
     """Links (a, b) between the reps of fingerprints (fp, more, rep): a star of each group's components.
 
-    Nodes may also have n, the size of their set of shingles: then pairs whose sizes alone keep them
+    Nodes may have bands, keys of which each makes its nodes meet; without them they meet by segments.
+    They may also have n, the size of their set of shingles: then pairs whose sizes alone keep them
     below LEAST are left out, and all others returned, but in groups of more than FEW pairs, which give
     stars and a link of each of their nodes with itself. If they have label, every pair of different
     labels is returned.
 
-    Without `segments` and `agree`, every pair within so many bits meets. With them, pairs that differ
-    in `segments - agree` bits or fewer always meet, and others mostly while bits fall together.
+    By segments, every pair within so many bits meets; where `segments` and `agree` are given, pairs
+    that differ in `segments - agree` bits or fewer always meet, and others mostly while bits fall
+    together.
     """
     spark = nodes.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    segments = segments or segments_for(nodes.count(), within)
-    choices = list(combinations(range(segments), agree or segments - within))
+    banded = "bands" in nodes.columns
+    segments = 0 if banded else segments or segments_for(nodes.count(), within)
+    choices = list(combinations(range(segments), agree or segments - within)) if segments else []
     own_columns = ["fp", "more", "rep", *[c for c in ("n", "label") if c in nodes.columns]]
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs, masks = references(), segment_masks(segments)
+        refs, masks = references(), segment_masks(max(1, segments))
         schema = pa.schema([(c, pa.int64()) for c in ("meet", *own_columns)])
         for batch in batches:
+            if banded:
+                keys = batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+                for c in range(keys.shape[1]):
+                    yield pa.RecordBatch.from_pydict({"meet": mixed(keys[:, c] + np.uint64(c + 1)).view(np.int64), **{c: batch.column(c) for c in own_columns}}, schema=schema)
+                continue
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
             table = distance_table(fp.view(np.uint64), refs, masks)
             # One word for the distances of each segment; a choice's key mixes the words of its segments.
@@ -188,7 +207,7 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
                 yield pa.RecordBatch.from_pydict({"meet": meet.view(np.int64), **{c: batch.column(c) for c in own_columns}}, schema=schema)
 
     # Computed twice, for the counts and for the pairs, rather than stored.
-    rows = nodes.select(*own_columns).mapInArrow(meeting, ", ".join(f"{c} long" for c in ("meet", *own_columns)))
+    rows = nodes.select(*own_columns, *(["bands"] if banded else [])).mapInArrow(meeting, ", ".join(f"{c} long" for c in ("meet", *own_columns)))
     long = common.written(rows.groupBy("meet").count().where(F.col("count") > BLOCK).select("meet", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "long")
     own = F.pmod(F.xxhash64("fp", "more", "rep"), F.col("blocks")).cast("int")
     # Block i of b meets itself and every other block once: pairs (i, j), i <= j.
@@ -248,34 +267,35 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
     return met.mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, within: int = 4, wide: int | None = None, segments: int | None = None, agree: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, within: int = 4) -> DataFrame:
     """Every row's fingerprint and the smallest doc_id that its links reach.
 
-    With `wide`, fingerprints have a second word and pairs may differ in so many of all 128 bits.
     Returns the columns of `docs` other than text, with fp and more (signed longs) and component_id.
     """
     common.prepare(docs.sparkSession)
-    fps = common.written(fingerprints(docs, size, wide is not None), "fingerprints")
+    fps = common.written(fingerprints(docs, size), "fingerprints")
     nodes = common.written(fps.groupBy("fp", "more").agg(F.min("doc_id").alias("rep")).where(F.col("rep").isNotNull()), "nodes")
-    reached = components(links(nodes, within, 128 if wide is None else wide, segments, agree))
+    reached = components(links(nodes, within))
     known = common.written(nodes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "more", F.coalesce("component", "rep").alias("component_id")), "known")
     return fps.join(known, ["fp", "more"], "left")
 
 
 def shingled(docs: DataFrame, size: int) -> DataFrame:
-    """row_key and doc_id with the size n and the digest of the set of distinct shingles, and the set's fingerprint."""
+    """row_key and doc_id with the size n and the digest of the set of distinct shingles, and the set's fingerprint and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            made, bands = [], [np.zeros(0, np.uint64)]
             for t in batch.column("text"):
                 x = shingle_set(t.as_py(), size)
                 made.append((*np.array(majority(iter([x])), np.uint64).view(np.int64).tolist(), len(x), xxhash.xxh128_hexdigest(x.tobytes())))
+                bands.append(band_keys(x))
             fp, more, n, digest = zip(*made, strict=True) if made else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (fp, more, n)), pa.array(digest, pa.string())], names=["row_key", "doc_id", "fp", "more", "n", "digest"])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (fp, more, n)), pa.array(digest, pa.string()), keys], names=["row_key", "doc_id", "fp", "more", "n", "digest", "bands"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select("row_key", "doc_id", "text").mapInArrow(run, f"row_key {kinds['row_key']}, doc_id {kinds['doc_id']}, fp long, more long, n long, digest string")
+    return docs.select("row_key", "doc_id", "text").mapInArrow(run, f"row_key {kinds['row_key']}, doc_id {kinds['doc_id']}, fp long, more long, n long, digest string, bands array<long>")
 
 
 def similar(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
@@ -288,7 +308,7 @@ def similar(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
 
     out = pairs.where("a <> b")
     wanted = out.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
-    sets = rows.select("row_key", "text").join(wanted, "row_key", "left_semi").mapInArrow(run, "key long, s array<long>")
+    sets = rows.join(wanted, "row_key", "left_semi").mapInArrow(run, "key long, s array<long>")
     for c in "ab":
         out = out.join(sets.select(F.col("key").alias(c), F.col("s").alias(f"s{c}")), c)
     # i / (na + nb - i) >= p / q without division.
@@ -297,42 +317,39 @@ def similar(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     return out.where(both * (p + q) >= (F.size("sa") + F.size("sb")).cast("long") * p).select("a", "b")
 
 
-def candidates(nodes: DataFrame, within: int, wide: int, segments: int, agree: int) -> DataFrame:
-    """Links of nodes that meet by segments of their first word or of their second."""
-    turned = nodes.withColumns({"fp": F.col("more"), "more": F.col("fp")})
-    return links(nodes, within, wide, segments, agree).unionByName(links(turned, within, wide, segments, agree))
-
-
-def deduplicated(docs: DataFrame, size: int = 5, within: int = 24, wide: int = 38, segments: int = 12, agree: int = 2) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = 5, within: int = 24, wide: int = 38) -> DataFrame:
     """`docs` with one row of each component: of the smallest doc_id and, among its repeated rows, any one.
 
     Texts link if their sets of shingles have a Jaccard similarity of LEAST or more, counted exactly
-    on the candidates that the fingerprints of the sets give. A similarity of 0.8 is a cosine of about
-    0.89, at which 19.4 of 128 bits differ on average with a deviation of 4.1: `wide` is 4.5 deviations
-    above it and `within`, for each word, 5. Pairs meet in two equal segments of either word.
+    on the candidates. Sets meet in any of BANDS bands of least hashes, so that unlike texts don't meet
+    however many there are; pivot tables and fingerprints of the sets then discard pairs. A similarity
+    of 0.8 is a cosine of about 0.89, at which 19.4 of 128 bits differ on average with a deviation of
+    4.1: `wide` is 4.5 deviations above it and `within`, for each word, 5.
 
     Of groups with many pairs stars are checked first; only pairs that these links have not joined are
     then checked one by one, so a large group of near copies doesn't cost its square. Rows without a
-    doc_id are kept only where no row of their component has one.
+    doc_id are kept only where no row of their component has one. Columns of any name are carried.
     """
     common.prepare(docs.sparkSession)
-    rows = common.written(common.keyed(docs), "rows")
+    held = common.written(common.keyed(common.boxed(docs)), "rows")
+    rows = held.select("row_key", "row.doc_id", "row.text")
     sets = common.written(shingled(rows, size), "shingled")
-    known = common.written(sets.groupBy("digest").agg(F.min(F.struct("row_key", "fp", "more", "n")).alias("s")).select("digest", F.col("s.row_key").alias("rep"), "s.fp", "s.more", "s.n"), "known")
+    known = common.written(sets.groupBy("digest").agg(F.min(F.struct("row_key", "fp", "more", "n")).alias("s"), F.min("bands").alias("bands")).select("digest", F.col("s.row_key").alias("rep"), "s.fp", "s.more", "s.n", "bands"), "known")
     nodes = known.drop("digest")
-    met = common.written(candidates(nodes, within, wide, segments, agree).distinct(), "met")
-    links_ = common.written(similar(met, rows, size), "similar")
+    texts = rows.select("row_key", "text")
+    met = common.written(links(nodes, within, wide).distinct(), "met")
+    links_ = common.written(similar(met, texts, size), "similar")
     crowded = met.where("a = b").select(F.col("a").alias("rep"))
     if crowded.limit(1).count():
         first = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
         left = common.written(nodes.join(crowded, "rep", "left_semi").join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "left")
-        rest = common.written(candidates(left, within, wide, segments, agree).distinct(), "rest")
-        links_ = links_.unionByName(common.written(similar(rest, rows, size), "similar"))
+        rest = common.written(links(left, within, wide).distinct(), "rest")
+        links_ = links_.unionByName(common.written(similar(rest, texts, size), "similar"))
     reached = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "component_id")
     placed = known.join(reached, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("s")
     kept = common.written(sets.select("digest", "doc_id", "row_key").join(placed, "digest").groupBy("component_id").agg(least).select("s.row_key"), "first")
-    return rows.join(_small(kept, kept.count()), "row_key", "left_semi").select(*docs.columns)
+    return held.join(_small(kept, kept.count()), "row_key", "left_semi").select("row.*")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:

@@ -259,12 +259,12 @@ def removed(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
     """Every row with the bytes that repeat.
 
     Returns the columns of `docs` but its text, with data (the bytes), spans (start, end of the
-    removed runs) and kept (the remaining bytes).
+    removed runs) and kept (the remaining bytes), which take the place of columns of these names.
     """
     common.prepare(docs.sparkSession)
-    others = [c for c in docs.columns if c != "text"]
     runs = repeats(docs, span, gram)
-    all_ = _text(docs).join(runs, "uid", "left")
+    own = docs.drop("data", "spans", "kept")
+    all_ = _text(common.boxed(own, ("text",))).join(runs, "uid", "left")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +277,11 @@ def removed(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
                 data.append(b)
                 spans.append([{"start": a, "end": z} for a, z in gone])
                 kept.append(b"".join(b[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(data, pa.binary()), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=[*others, "data", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(data, pa.binary()), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=["row", "data", "spans", "kept"])
 
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
-    return all_.select(*others, "text", "runs").mapInArrow(cut, f"{ddl}data binary, spans array<struct<start:long,end:long>>, kept binary")
+    ddl = f"row {all_.schema['row'].dataType.simpleString()}, data binary, spans array<struct<start:long,end:long>>, kept binary"
+    out = all_.select("row", "text", "runs").mapInArrow(cut, ddl)
+    return out.select(*(["row.*"] if len(own.columns) > 1 else []), "data", "spans", "kept")
 
 
 def brute_force(texts: list[str | None], span: int = 400) -> list[tuple[int, int, int, str]]:
