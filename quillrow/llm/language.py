@@ -151,8 +151,7 @@ def train(docs: DataFrame, max_rows: int = 1200, holdout: float = 0.2) -> Model:
     """Learns from text and non-null lang of `docs` alone."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
     # The max_rows smallest hashes of each language: found on two narrow columns, so no text is sorted.
-    ranked = labelled.select("lang", "h").selectExpr("lang", "h", "row_number() over (partition by lang order by h) as rank")
-    bounds = {r.lang: r.h for r in ranked.where(F.col("rank") <= max_rows).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    bounds = common.smallest(labelled, "lang", "h", max_rows)
     if not bounds:
         return Model([], np.zeros((SIZE, 0), np.float32), np.zeros(0), 1.0)
     wanted = F.lit(False)

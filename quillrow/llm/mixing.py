@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,9 +91,10 @@ class Domains:
 def train(docs: DataFrame, labels: DataFrame, names: list[str], max_rows: int = 1500, holdout: float = 0.2) -> Domains:
     """Learns domains from `labels` (doc_id, domain)."""
     asked = labels.where(F.col("domain").isin(*names)).select("doc_id", "domain", F.xxhash64("doc_id").alias("h")).distinct()
-    ranked = asked.selectExpr("doc_id", "domain", "h", "row_number() over (partition by domain order by h, doc_id) as rank").where(F.col("rank") <= max_rows)
+    bounds = common.smallest(asked, "domain", "h", max_rows)
+    low = reduce(or_, [(F.col("domain") == n) & (F.col("h") <= h) for n, h in bounds.items()], F.lit(False))
     # At most max_rows labels of each domain, so this side is short whatever the corpus.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ranked.select("doc_id", "domain", "h")), "doc_id").dropDuplicates(["doc_id", "domain"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(asked.where(low)), "doc_id").dropDuplicates(["doc_id", "domain"])
     found = rows.select("domain", "h", "text").mapInArrow(_sample, "domain string, h long, at array<int>").toPandas().sort_values(["domain", "h"], kind="stable")
     seen = [n for n in names if (found["domain"] == n).any()]
     if not seen:

@@ -50,6 +50,8 @@ MOST_SEGMENTS = 8
 LEAST = (4, 5)
 #: Bands of the shingle sets' least hashes, and hashes of a band: sets of similarity 0.8 share a band with a chance of 0.998.
 BANDS, ROWS = 16, 5
+#: Words of the sketches of sets in crowded groups, and bits that differ at most: 4.5 deviations above the mean of a similarity of 0.8.
+SKETCH, SKETCH_BITS = 32, 383
 #: Pairs of a group that are checked one by one at once; a group of more gives stars first.
 FEW = 64
 
@@ -103,6 +105,17 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes(text, size)]))
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """SKETCH words of bits of a set, each made like a fingerprint from further bits of its hashes."""
+    ones = np.zeros(64 * SKETCH, np.int64)
+    for at in range(0, len(x), PIECE // 16):
+        h = x[at : at + PIECE // 16]
+        for k in range(SKETCH):
+            h = mixed(h + np.uint64(0x9E3779B97F4A7C15))
+            ones[64 * k : 64 * k + 64] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(x), bitorder="little").tobytes()
+
+
 def band_keys(x: np.ndarray) -> np.ndarray:
     """A key for each band of least hashes of a set, under BANDS * ROWS odd multipliers; zeros of an empty set."""
     if not len(x):
@@ -175,8 +188,8 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
     Nodes may have bands, keys of which each makes its nodes meet; without them they meet by segments.
     They may also have n, the size of their set of shingles: then pairs whose sizes alone keep them
     below LEAST are left out, and all others returned, but in groups of more than FEW pairs, which give
-    stars and a link of each of their nodes with itself. If they have label, every pair of different
-    labels is returned.
+    stars and a link of each of their nodes with itself. If they have label and sketch, every pair of
+    different labels whose sketches are near is returned.
 
     By segments, every pair within so many bits meets; where `segments` and `agree` are given, pairs
     that differ in `segments - agree` bits or fewer always meet, and others mostly while bits fall
@@ -187,11 +200,11 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
     banded = "bands" in nodes.columns
     segments = 0 if banded else segments or segments_for(nodes.count(), within)
     choices = list(combinations(range(segments), agree or segments - within)) if segments else []
-    own_columns = ["fp", "more", "rep", *[c for c in ("n", "label") if c in nodes.columns]]
+    own_columns = ["fp", "more", "rep", *[c for c in ("n", "label", "sketch") if c in nodes.columns]]
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs, masks = references(), segment_masks(max(1, segments))
-        schema = pa.schema([(c, pa.int64()) for c in ("meet", *own_columns)])
+        schema = pa.schema([(c, pa.binary() if c == "sketch" else pa.int64()) for c in ("meet", *own_columns)])
         for batch in batches:
             if banded:
                 keys = batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
@@ -207,7 +220,7 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
                 yield pa.RecordBatch.from_pydict({"meet": meet.view(np.int64), **{c: batch.column(c) for c in own_columns}}, schema=schema)
 
     # Computed twice, for the counts and for the pairs, rather than stored.
-    rows = nodes.select(*own_columns, *(["bands"] if banded else [])).mapInArrow(meeting, ", ".join(f"{c} long" for c in ("meet", *own_columns)))
+    rows = nodes.select(*own_columns, *(["bands"] if banded else [])).mapInArrow(meeting, ", ".join(f"{c} {'binary' if c == 'sketch' else 'long'}" for c in ("meet", *own_columns)))
     long = common.written(rows.groupBy("meet").count().where(F.col("count") > BLOCK).select("meet", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "long")
     own = F.pmod(F.xxhash64("fp", "more", "rep"), F.col("blocks")).cast("int")
     # Block i of b meets itself and every other block once: pairs (i, j), i <= j.
@@ -222,7 +235,8 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
         held: list[pa.RecordBatch] = []
 
         def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            col = {c: rows.column(c).to_numpy() for c in ("meet", "i", "j", "side", *own_columns)}
+            col = {c: rows.column(c).to_numpy() for c in ("meet", "i", "j", "side", *own_columns) if c != "sketch"}
+            more = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH) if "sketch" in own_columns else None
             new = np.any([np.diff(col[c]) != 0 for c in ("meet", "i", "j")], axis=0)
             group = np.concatenate([[0], np.cumsum(new)])
             u, v = [], []
@@ -232,9 +246,12 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
                     x, y = x[ok], y[ok]
                 if "label" in col:
                     ok = col["label"][x] != col["label"][y]
-                    x, y = col["rep"][x[ok]], col["rep"][y[ok]]
-                    if len(x):
-                        yield pa.RecordBatch.from_pydict({"a": np.maximum(x, y), "b": np.minimum(x, y)}, schema=schema)
+                    x, y = x[ok], y[ok]
+                    for at in range(0, len(x), CHUNK):
+                        ok = np.bitwise_count(more[x[at : at + CHUNK]] ^ more[y[at : at + CHUNK]]).sum(axis=1, dtype=np.int64) <= SKETCH_BITS
+                        a, b = col["rep"][x[at : at + CHUNK][ok]], col["rep"][y[at : at + CHUNK][ok]]
+                        if len(a):
+                            yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)}, schema=schema)
                 elif len(x):
                     u.append(x)
                     v.append(y)
@@ -326,13 +343,20 @@ def deduplicated(docs: DataFrame, size: int = 5, within: int = 24, wide: int = 3
     of 0.8 is a cosine of about 0.89, at which 19.4 of 128 bits differ on average with a deviation of
     4.1: `wide` is 4.5 deviations above it and `within`, for each word, 5.
 
-    Of groups with many pairs stars are checked first; only pairs that these links have not joined are
-    then checked one by one, so a large group of near copies doesn't cost its square. Rows without a
+    Of groups with many pairs stars are checked first. Pairs that these links have not joined are then
+    compared by longer sketches of their sets, at which a similarity of 0.71 is all that is still let
+    through, and only what is left is joined with the sets: a large group of copies, near or not so
+    near, doesn't cost the square of its rows there. Rows without a
     doc_id are kept only where no row of their component has one. Columns of any name are carried.
     """
     common.prepare(docs.sparkSession)
     held = common.written(common.keyed(common.boxed(docs)), "rows")
     rows = held.select("row_key", "row.doc_id", "row.text")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array([sketch(shingle_set(t.as_py(), size)) for t in batch.column("text")], pa.binary())], names=["rep", "sketch"])
+
     sets = common.written(shingled(rows, size), "shingled")
     known = common.written(sets.groupBy("digest").agg(F.min(F.struct("row_key", "fp", "more", "n")).alias("s"), F.min("bands").alias("bands")).select("digest", F.col("s.row_key").alias("rep"), "s.fp", "s.more", "s.n", "bands"), "known")
     nodes = known.drop("digest")
@@ -342,7 +366,8 @@ def deduplicated(docs: DataFrame, size: int = 5, within: int = 24, wide: int = 3
     crowded = met.where("a = b").select(F.col("a").alias("rep"))
     if crowded.limit(1).count():
         first = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
-        left = common.written(nodes.join(crowded, "rep", "left_semi").join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "left")
+        near = texts.join(crowded.select(F.col("rep").alias("row_key")), "row_key", "left_semi").mapInArrow(sketched, "rep long, sketch binary")
+        left = common.written(nodes.join(near, "rep").join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "left")
         rest = common.written(links(left, within, wide).distinct(), "rest")
         links_ = links_.unionByName(common.written(similar(rest, texts, size), "similar"))
     reached = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "component_id")
