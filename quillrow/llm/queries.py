@@ -15,6 +15,8 @@ def _spans_text(c: str = "spans") -> Column:
     return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Words of the strings that make repeated passages.
+PASSAGE = 51
 #: Shares of tokens that the mixing query aims at.
 TARGETS = {"high": 0.8, "low": 0.15, "toxic": 0.05}
 
@@ -60,10 +62,10 @@ def op6_gumbel_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without repeated strings of 400 bytes."""
-    out = suffixes.removed(read(spark, sf_dir, "documents").select("doc_id", "text"), 400)
+    """What is left of every document without repeated strings of 400 bytes, and its words in passages of over 50 that repeat."""
+    out = suffixes.removed(read(spark, sf_dir, "documents").select("doc_id", "text"), 400, passage=PASSAGE)
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", F.length("data").cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.length("data").cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

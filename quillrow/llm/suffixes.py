@@ -15,7 +15,12 @@ with the same least hash make a stretch. A suffix can only repeat in a stretch o
   - the suffixes of all other stretches are sorted, with one twin of each sort to meet them.
 Groups of copies end in the second case, counted before they are shuffled, so they cost little.
 
-Equality is that of 64- or 128-bit hashes with fixed random byte values; texts are told by MD5.
+The same finds passages, strings of so many words that start elsewhere too: the sequence is then the
+text's words, not its bytes.
+
+Equality is that of hashes: of 128 bits in the sort, and of two of 64 bits for twins. A sum of powers
+alone has texts of regular patterns with equal sums, so its terms are mixed from eight bytes, each with
+the seven after it, and not from single ones. Texts are told by MD5.
 
 Shapes of input with a defined result: a null text is an empty one; texts shorter than `span` keep all
 their bytes; repeated rows are copies of each other; a text may repeat itself and overlap itself;
@@ -26,10 +31,12 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +49,7 @@ SHORT = 1 << 16
 #: Suffixes of a bucket, about.
 BUCKET = 1_000_000
 
-_BYTES = np.random.default_rng(400).integers(1, 1 << 64, 256, np.uint64)
+_SPACE = re.compile(rb"\s")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _power: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -64,16 +71,33 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of all substrings of some bytes, from running sums."""
-
-    def __init__(self, data: bytes) -> None:
-        x = _BYTES[np.frombuffer(data, np.uint8)]
+    """Hashes of all substrings of some bytes or words, from running sums; of bytes, eight at least."""
+
+    def __init__(self, part: bytes | np.ndarray) -> None:
+        if isinstance(part, bytes):
+            x = np.frombuffer(part + bytes(7), np.uint8).astype(np.uint64)
+            for k in (1, 2, 4):
+                x = x[:-k] | x[k:] << np.uint64(8 * k)
+            self.tail = 7
+        else:
+            x, self.tail = part, 0
         power, self.inverse = _powers(len(x) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[:-1], dtype=np.uint64)])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(x * _BASE + np.uint64(1)) * power[:-1], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of [start, end)."""
-        return _mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
+        return _mixed((self.sums[end - self.tail] - self.sums[start]) * self.inverse[start])
+
+
+def words_of(text: str) -> np.ndarray:
+    """A hash of each word of a text."""
+    data, at, out = text.encode("utf-8", "surrogatepass"), 0, [np.zeros(0, np.uint64)]
+    while at < len(data):
+        cut = _SPACE.search(data, at + PIECE)
+        end = cut.start() if cut else len(data)
+        out.append(np.array([xxhash.xxh64_intdigest(w) for w in data[at:end].split()], np.uint64))
+        at = end
+    return np.concatenate(out)
 
 
 def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,13 +109,13 @@ def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def pieces(data: bytes, span: int) -> Iterator[tuple[int, bytes]]:
-    """The bytes in pieces that together hold each string of `span` bytes once."""
+def pieces(data: bytes | np.ndarray, span: int) -> Iterator[tuple[int, bytes | np.ndarray]]:
+    """The bytes or words in pieces that together hold each string of `span` of them once."""
     for at in range(0, max(1, len(data) - span + 1), PIECE):
         yield at, data[at : at + PIECE + span - 1]
 
 
-def stretches(data: bytes, span: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def stretches(data: bytes | np.ndarray, span: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(least hash, hash of the bytes, first suffix, number of suffixes, whether the least window is there twice)."""
     width = span - gram + 1
     for base, part in pieces(data, span):
@@ -111,7 +135,7 @@ def stretches(data: bytes, span: int, gram: int) -> Iterator[tuple[np.ndarray, n
         yield least[first], _mixed(h.of(first, last + span) + (last - first).astype(np.uint64)), first + base, last - first + 1, twice
 
 
-def tokens(data: bytes, starts: np.ndarray, span: int) -> np.ndarray:
+def tokens(data: bytes | np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
     """TOKENS hashes of each suffix's first `span` bytes."""
     out = np.empty((len(starts), TOKENS), np.uint64)
     cuts = [span * k // TOKENS for k in range(TOKENS + 1)]
@@ -154,8 +178,12 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c != "text"], text.alias("text"), F.unhex(F.md5(text)).alias("uid"))
 
 
-def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
-    """(uid, runs) of the texts with repeats: runs are (first suffix, number of suffixes) that repeat."""
+def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, words: bool = False) -> DataFrame:
+    """(uid, runs) of the texts with repeats: runs are (first suffix, number of suffixes) that repeat.
+
+    span and gram are bytes (8 in each token and 8 in a gram at least), or words.
+    """
+    read = words_of if words else lambda text: text.encode("utf-8", "surrogatepass")
     spark = docs.sparkSession
     texts = _text(docs.select("text"))
     found = pa.schema([("least", pa.int64()), ("whole", pa.int64()), ("uid", pa.binary()), ("first", pa.int64()), ("n", pa.int64()), ("twice", pa.bool_())])
@@ -163,7 +191,7 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, uid in zip(batch.column("text").to_pylist(), batch.column("uid").to_pylist(), strict=True):
-                for least, whole, first, n, twice in stretches(text.encode("utf-8", "surrogatepass"), span, gram):
+                for least, whole, first, n, twice in stretches(read(text), span, gram):
                     yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([uid] * len(first), pa.binary()), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(twice)], schema=found)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +221,14 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 s = np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in r["parts"]])
-                t = tokens(r["text"].encode("utf-8", "surrogatepass"), s, span).view(np.int64)
+                t = tokens(read(r["text"]), s, span).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*[pa.array(t[:, k].copy()) for k in range(TOKENS)], pa.array(np.full(len(s), r["number"])), pa.array(s.astype(np.int32))], names=[*names, "number", "start"])
 
     key = [f"t{k}" for k in range(TOKENS)]
     ddl = ", ".join(f"{k} long" for k in key)
-    # One row of each text, whatever the number of its copies.
-    wanted = texts.join(sorted_.select("uid", "number", "parts"), "uid").select("text", "number", "parts")
+    # One row of each text, whatever the number of its copies: copies are told before they are shuffled.
+    once = texts.join(sorted_.select("uid"), "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text"))
+    wanted = once.join(sorted_.select("uid", "number", "parts"), "uid").select("text", "number", "parts")
     made = wanted.mapInArrow(suffixes, f"{ddl}, number long, start int").repartitionByRange(parts, *key, "number", "start")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,21 +284,29 @@ def covered(runs: list[dict], span: int) -> list[tuple[int, int]]:
     return list(zip(a[at, 0].tolist(), far[np.append(at[1:] - 1, len(a) - 1)].tolist(), strict=True))
 
 
-def removed(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
+def removed(docs: DataFrame, span: int = 400, gram: int = GRAM, passage: int | None = None) -> DataFrame:
     """Every row with the bytes that repeat.
 
     Returns the columns of `docs` but its text, with data (the bytes), spans (start, end of the
-    removed runs) and kept (the remaining bytes), which take the place of columns of these names.
+    removed runs) and kept (the remaining bytes), which take the place of columns of these names. With
+    `passage`, n_passage_words counts the words covered by strings of so many words that repeat.
     """
     common.prepare(docs.sparkSession)
     runs = repeats(docs, span, gram)
-    own = docs.drop("data", "spans", "kept")
+    if passage:
+        said = repeats(docs, passage, passage * 5 // 8, words=True).withColumnRenamed("runs", "passages")
+        runs = common.written(runs.join(said, "uid", "full"), "both")
+    else:
+        runs = runs.withColumn("passages", F.lit(None).cast(runs.schema["runs"].dataType))
+    own = docs.drop("data", "spans", "kept", *(["n_passage_words"] if passage else []))
     all_ = _text(common.boxed(own, ("text",))).join(runs, "uid", "left")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, spans, kept = [], [], []
+            data, spans, kept, said = [], [], [], []
+            for own in batch.column("passages").to_pylist():
+                said.append(sum(b - a for a, b in covered(own, passage)) if own else 0)
             for text, own in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 b = text.encode("utf-8", "surrogatepass")
                 gone = covered(own, span) if own else []
@@ -277,11 +314,11 @@ def removed(docs: DataFrame, span: int = 400, gram: int = GRAM) -> DataFrame:
                 data.append(b)
                 spans.append([{"start": a, "end": z} for a, z in gone])
                 kept.append(b"".join(b[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(data, pa.binary()), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=["row", "data", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(data, pa.binary()), pa.array(spans, span_type), pa.array(kept, pa.binary()), pa.array(said, pa.int64())], names=["row", "data", "spans", "kept", "n_passage_words"])
 
-    ddl = f"row {all_.schema['row'].dataType.simpleString()}, data binary, spans array<struct<start:long,end:long>>, kept binary"
-    out = all_.select("row", "text", "runs").mapInArrow(cut, ddl)
-    return out.select(*(["row.*"] if len(own.columns) > 1 else []), "data", "spans", "kept")
+    ddl = f"row {all_.schema['row'].dataType.simpleString()}, data binary, spans array<struct<start:long,end:long>>, kept binary, n_passage_words long"
+    out = all_.select("row", "text", "runs", "passages").mapInArrow(cut, ddl)
+    return out.select(*(["row.*"] if len(own.columns) > 1 else []), "data", "spans", "kept", *(["n_passage_words"] if passage else []))
 
 
 def brute_force(texts: list[str | None], span: int = 400) -> list[tuple[int, int, int, str]]:
