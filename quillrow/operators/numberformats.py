@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,115 +24,101 @@ SIGN_MARKS = "-()−‒–﹣－（）"
 SIGN_WORDS = ("CR", "DR")
 COLOURS = ("black", "blue", "cyan", "green", "magenta", "red", "white", "yellow")
 
-_PIECE = re.compile(r'"[^"]*"|\[[^\]]*\]|[\\_*].|AM/PM|A/P|General|[eE][+-]|.', re.S | re.I)
+# Kinds of the tokens of a code and the letter that each has in a section's shape; what shows nothing has none, and "!"
+# is what no section may hold. A bracket's letter depends on what is in it, see `_bracket`.
+_KINDS = [
+    ("quoted", r'"[^"]*"', "x"), ("bracket", r"\[[^\]]*\]", ""), ("escaped", r"\\.", "x"), ("width", r"_.", "w"), ("fill", r"\*.", ""), ("open", r'["\[\\_*]', "!"),
+    ("cut", ";", ""), ("half", r"AM/PM|A/P", "d"), ("general", "General", "G"), ("power", r"E[+-]", "E"), ("place", r"[0#?]", "0"), ("number", r"[1-9][0-9]*", "1"), ("point", r"\.", "."),
+    ("comma", ",", ","), ("percent", "%", "%"), ("text", "@", "@"), ("bar", "/", "/"), ("date", "[ydmhs]", "d"), ("mark", r"[$+():\s-]", "x"), ("other", ".", "!"),
+]
+_TOKEN = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern, _ in _KINDS), re.S | re.I)
+_LETTER = {name: letter for name, _, letter in _KINDS}
+# Shapes that are no section: strange tokens, two conditions, General or text beside a number, dates beside text or a
+# power, and fractions with a point, a power or nothing below the bar.
+_BAR = r"^[^.]*?0/"
+_NO_SECTION = re.compile("!|c.*c|(?=.*G).*[0.E1@/,%]|^(?!.*G)(?=.*d).*[@E1]|^(?!.*[Gd])(?=.*@).*[0.E1/]|" + f"{_BAR}(?!.*[01])|{_BAR}.*[.E]|{_BAR}1.*0")
+#: Which section shows a positive value, zero and a negative one, by the number of sections for numbers.
+_SHOWS = {1: (0, 0, 0), 2: (0, 0, 1), 3: (0, 2, 1)}
+
+
+def _bracket(inner: str) -> tuple[str, str]:
+    """Letter and literal of what a bracket holds."""
+    said = inner.lower()
+    if m := re.fullmatch(r"\$([^-]*).*", inner, re.S):
+        return ("x", m[1]) if m[1] else ("", "")
+    if re.fullmatch(r"[<>=]+\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*", said):
+        return "c", ""
+    if re.fullmatch("h+|m+|s+", said):
+        return "d", ""
+    numbered = re.fullmatch(r"color\s*(\d+)\s*", said)
+    return ("k" if said in COLOURS or (numbered and 1 <= int(numbered[1]) <= 56) else "!"), ""
+
+
+def _signed(literal: str) -> bool:
+    return any(c in SIGN_MARKS for c in literal) or any(w.upper() in SIGN_WORDS for w in re.split(r"[\W\d_]+", literal))
 
 
-@dataclass
 class Section:
-    """What one section of a format code shows."""
-
-    literal: str = ""
-    digits: bool = False
-    date: bool = False
-    text: bool = False
-    colour: bool = False
-    condition: bool = False
-    exponent: bool = False
-    fraction: bool = False
-    decimals: int = 0
-    denominator: int = 1
-    percents: int = 0
-    scaling: int = 0
-    general: bool = False
-    marks: list[str] = field(default_factory=list)
+    """One section of a code, from its tokens (kind, text): a shape of a letter a token, and the literals it shows."""
+
+    def __init__(self, tokens: list[tuple[str, str]]) -> None:
+        shape, literals = [], []
+        for kind, said in tokens:
+            letter, literal = _bracket(said[1:-1]) if kind == "bracket" else (_LETTER[kind], {"quoted": said[1:-1], "escaped": said[1:], "mark": said}.get(kind, ""))
+            if kind == "quoted" and not literal:
+                continue
+            below = "/" in shape or "0" not in shape or "." in shape
+            if kind == "bar" and (below or shape[-1] != "0"):
+                letter, literal = "/" if "/" in shape else "|", "/"
+            shape.append(letter)
+            literals.append(literal)
+        self.shape = "".join(shape).replace("k", "").replace("|", "x")
+        self.colour = "k" in shape
+        self.literal = "".join("".join(literals).split())
+        self.sign = any(map(_signed, literals))
+        self.numbers = [int(said) for kind, said in tokens if kind == "number"]
+
+    @property
+    def sound(self) -> bool:
+        return not _NO_SECTION.search(self.shape)
 
     @property
     def empty(self) -> bool:
-        return not (self.literal or self.digits or self.date or self.text or self.general)
+        return not self.shape.replace("c", "")
+
+    @property
+    def date(self) -> bool:
+        return "d" in self.shape and not (self.sound and "G" in self.shape)
 
     @property
-    def sign(self) -> bool:
-        return any(c in SIGN_MARKS for c in self.literal) or any(w.upper() in SIGN_WORDS for w in re.split(r"[\W\d_]+", self.literal))
-
-
-def split(code: str) -> list[str] | None:
-    """Sections of a code; None if a quote or bracket is left open."""
-    out, at = [""], 0
-    while at < len(code):
-        c = code[at]
-        end = at + 1
-        if c in '"[':
-            end = code.find('"' if c == '"' else "]", at + 1) + 1
-            if end == 0:
-                return None
-        elif c in "\\_*":
-            end = at + 2
-            if end > len(code):
-                return None
-        elif c == ";":
-            out.append("")
-            at = end
-            continue
-        out[-1] += code[at:end]
-        at = end
-    return out
-
-
-def section(code: str) -> Section:
-    """A section's parts."""
-    s = Section()
-    point = False
-    commas = 0
-    for m in _PIECE.finditer(code):
-        p = m[0]
-        if p[0] == '"':
-            s.literal += "".join(p[1:-1].split())
-        elif p[0] == "[":
-            inner = p[1:-1].lower()
-            if inner in COLOURS or re.fullmatch(r"color\s?\d+", inner):
-                s.colour = True
-            elif inner[:1] in "<>=":
-                s.condition = True
-            elif re.fullmatch("h+|m+|s+", inner):
-                s.date = True
-            elif inner.startswith("$"):
-                s.literal += "".join(inner[1:].split("-")[0].split())
-        elif p[0] == "\\":
-            s.literal += p[1].strip()
-        elif p[0] in "_*":
-            continue
-        elif p.lower() == "general":
-            s.general = True
-        elif p in "0#?":
-            s.digits, commas = True, 0
-            if s.fraction:
-                s.denominator = s.denominator * 10
-            elif point:
-                s.decimals += 1
-        elif p == ".":
-            point = True
-        elif p == ",":
-            commas += 1
-        elif p == "%":
-            s.percents += 1
-            s.literal += p
-        elif p == "@":
-            s.text = True
-        elif p == "/" and s.digits:
-            s.fraction = True
-        elif p.lower() in ("e+", "e-") and s.digits:
-            s.exponent = True
-        elif p.lower() in ("am/pm", "a/p") or p in "yYdDmMhHsS":
-            s.date = True
-        elif p.isdigit() and s.fraction:
-            s.denominator = s.denominator * 10 + int(p) if s.denominator > 1 else int(p)
-        elif not p.isspace():
-            s.literal += p
-    s.scaling = commas if s.digits else 0
-    s.decimals += 2 * s.percents - 3 * s.scaling if not s.fraction else 0
-    if s.fraction and s.denominator > 1 and s.denominator % 10 == 0:
-        s.denominator -= 1
-    return s
+    def scaling(self) -> int:
+        """Commas after the last place, each a thousandth."""
+        return self.shape.rpartition("0")[2].count(",")
+
+    def too_small(self, size: float) -> bool:
+        """Whether a magnitude shows no digit other than zero here."""
+        percents = self.shape.count("%")
+        if re.search(_BAR, self.shape):
+            below = re.split(_BAR, self.shape)[1]
+            steps = self.numbers[-1] if below.startswith("1") else 10 ** below.count("0") - 1
+            return size * 100.0**percents * steps < 0.5
+        decimals = self.shape.partition(".")[2].count("0") + 2 * percents - 3 * self.scaling
+        return not set("EG") & set(self.shape) and shown_from(size) > decimals
+
+
+class Code:
+    """A format code's sections, and whether they make a code."""
+
+    def __init__(self, code: str) -> None:
+        tokens = [(m.lastgroup or "", m[0]) for m in _TOKEN.finditer(code)]
+        whole = bool(code) and all(kind != "open" for kind, _ in tokens)
+        cuts = [-1, *(i for i, (kind, _) in enumerate(tokens) if kind == "cut"), len(tokens)]
+        self.sections = [Section(tokens[a + 1 : b]) for a, b in zip(cuts, cuts[1:], strict=False)] if whole else []
+        shapes = [s.shape for s in self.sections]
+        self.sound = whole and len(shapes) <= 4 and all(s.sound for s in self.sections) and sum("c" in x for x in shapes) <= 2
+        self.sound = self.sound and not any("@" in x and (x is not shapes[-1] or "c" in x) for x in shapes) and (len(shapes) < 4 or "@" in shapes[3] or self.sections[3].empty)
+        self.says = self.sections[-1] if self.sound and ("@" in shapes[-1] or len(shapes) == 4) else None
+        self.numeric = self.sections[: len(shapes) - (self.says is not None)]
 
 
 def shown_from(magnitude: float) -> int:
@@ -141,39 +126,32 @@ def shown_from(magnitude: float) -> int:
     return int(min(99, max(-99, math.ceil(math.log10(0.5 / magnitude)))))
 
 
+def _by_section(code: Code, value: float) -> tuple[bool, bool]:
+    """What the section that shows a number loses."""
+    place = _SHOWS[len(code.numeric)][(value > 0) * 0 + (value == 0) * 1 + (value < 0) * 2]
+    own = code.numeric[place]
+    if value == 0 or (value < 0 and own.too_small(-value)):
+        return False, False
+    unmarked = own.colour and not (own.sign or own.empty) and own.literal == code.numeric[0].literal
+    return own.empty, bool(re.search(_BAR, own.shape) and own.scaling) or (place == 1 and unmarked)
+
+
+#: What is lost, by the first case that fits: a test of (id, code, value), and (hidden, misrendered).
+_CASES = [
+    (lambda i, c, v: c is None, lambda i, c, v: (False, v is not None and i in LOCALE_IDS)),
+    (lambda i, c, v: not c.sound and v is None, lambda i, c, v: (len(c.sections) == 4, False)),
+    (lambda i, c, v: not c.sound, lambda i, c, v: (False, any(s.date for s in c.sections))),
+    (lambda i, c, v: v is None, lambda i, c, v: (c.says is not None and c.says.empty, False)),
+    (lambda i, c, v: not c.numeric or any("c" in s.shape for s in c.sections), lambda i, c, v: (False, False)),
+    (lambda i, c, v: True, lambda i, c, v: _by_section(c, v)),
+]
+
+
 def loss(format_id: int, code: str | None, value: float | None) -> tuple[bool, bool]:
     """(hidden, misrendered) of a number, or of text where value is None."""
-    code = code if code is not None else BUILTIN.get(format_id)
-    if code is None:
-        return False, value is not None and format_id in LOCALE_IDS
-    parts = split(code)
-    if not code or parts is None or len(parts) > 4:
-        dated = bool(parts) and any(section(p).date for p in parts)
-        return False, value is not None and dated
-    all_ = [section(p) for p in parts]
-    says = all_[-1] if all_[-1].text or len(all_) == 4 else None
-    if value is None:
-        return bool(says and says.empty), False
-    if any(s.condition for s in all_):
-        return False, False
-    numeric = all_[:-1] if says else all_
-    if not numeric:
-        return False, False
-    if len(numeric) == 1:
-        at = 0
-    elif value < 0:
-        at = 1
-    else:
-        at = 0 if value > 0 or len(numeric) == 2 else 2
-    own = numeric[at]
-    if value < 0:
-        size = -value
-        small = size * 100.0**own.percents * own.denominator < 0.5 if own.fraction else not own.exponent and not own.general and shown_from(size) > own.decimals
-        if small:
-            return False, False
-    scaled = own.fraction and own.scaling > 0 and value != 0
-    by_colour = at == 1 and own.colour and not own.sign and not own.empty and own.literal == numeric[0].literal
-    return own.empty and value != 0, scaled or by_colour
+    said = BUILTIN.get(format_id) if code is None else code
+    given = (format_id, None if said is None else Code(said), value)
+    return next(lost(*given) for fits, lost in _CASES if fits(*given))
 
 
 def losses(cells: DataFrame, format_id: str = "format_id", code: str = "code", value: str = "value") -> DataFrame:

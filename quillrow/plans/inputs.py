@@ -59,7 +59,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATEMENTS_SQL = """
-priced AS (SELECT o_custkey, o_orderkey, o_orderstatus, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS price FROM orders WHERE o_custkey % 10 = 0),
+priced AS (SELECT o_custkey, o_orderkey, o_orderstatus, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS price FROM orders),
 rowed AS (SELECT o_custkey, o_orderkey, price, '| ' || o_orderkey || ' | ' || price || CASE WHEN o_orderkey % 5 = 0 THEN ' ' || price ELSE '' END || ' | ' || o_orderstatus || ' |' AS row_text FROM priced),
 made AS (SELECT o_custkey, string_agg(row_text, chr(10) ORDER BY o_orderkey) AS body, arg_min(price, o_orderkey) AS least FROM rowed GROUP BY o_custkey),
 docs AS (SELECT o_custkey AS doc_id, CASE WHEN o_custkey % 3 = 0 THEN 'Order Amount Status ' || regexp_replace(array_to_string(list_filter(string_split(string_split(body, chr(10))[1], '|'), lambda c: trim(c) <> ''), ''), '\\s+', ' ', 'g') || chr(10) || chr(10) ELSE 'Statement' || chr(10) || chr(10) END

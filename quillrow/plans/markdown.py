@@ -128,8 +128,12 @@ ORACLE_SQL = {
     "md_rows_repeated": f"{_BLOCKS}, said AS (SELECT doc_id, block, string_agg(regexp_replace(array_to_string(list_filter(cs, lambda c: c <> ''), ' '), '\\s+', ' ', 'g'), ' ' ORDER BY row) AS s, count(*) AS n FROM r WHERE row < 2 GROUP BY 1, 2) SELECT DISTINCT s.doc_id, s.block FROM said s JOIN paragraphs p ON s.doc_id = p.doc_id AND s.block - p.block IN (1, 2) WHERE n = 2 AND (trim(regexp_replace(paragraph, '\\s+', ' ', 'g')) = s OR ends_with(trim(regexp_replace(paragraph, '\\s+', ' ', 'g')), ' ' || s))",
     "md_detached_amounts": f"{_BLOCKS}, held AS (SELECT doc_id, block, flatten(list(string_split_regex(cell, '\\s+'))) AS h FROM c GROUP BY 1, 2), after_ AS (SELECT p.doc_id, h.block, list_filter(string_split_regex(paragraph, '\\s+'), lambda t: regexp_matches(t, '{_AMOUNT}')) AS x, h FROM paragraphs p JOIN held h ON p.doc_id = h.doc_id AND p.block - h.block IN (1, 2)), o AS (SELECT doc_id, block, list_filter(x, lambda t: NOT list_contains(h, t)) AS l FROM after_) SELECT doc_id, block, array_to_string(l, ' ') AS amounts FROM o WHERE len(l) > 0",
     "running_header_candidates": f"{_RUNNING} SELECT * FROM f",
-    "doubled_words": "WITH w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\s+'), lambda x: regexp_replace(x, '[*_`|#]', '', 'g')), lambda x: x <> '') AS w FROM documents) SELECT doc_id, i - 1 AS pos, w[i] AS run FROM w, unnest(range(1, len(w))) AS t(i) WHERE w[i] = w[i + 1] AND (regexp_matches(w[i], '[0-9]') OR length(w[i]) >= 4)",
-    "doubled_glyphs": "SELECT doc_id, CAST(0 AS BIGINT) AS pos, 'TToottaall' AS word, 'Total' AS painted_once FROM documents WHERE doc_id % 7 = 0",
+    "doubled_glyphs": """
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'TToottaall ' || text ELSE text END AS text FROM documents),
+w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\s+'), lambda x: regexp_replace(x, '[*_`|#]', '', 'g')), lambda x: x <> '') AS w FROM d),
+e AS (SELECT doc_id, i - 1 AS pos, w[i] AS word FROM w, unnest(range(1, len(w) + 1)) AS t(i)),
+p AS (SELECT *, array_to_string(list_transform(range(1, length(word), 2), lambda k: word[k]), '') AS painted_once, array_to_string(list_transform(range(2, length(word) + 1, 2), lambda k: word[k]), '') AS again FROM e WHERE length(word) >= 4 AND length(word) % 2 = 0)
+SELECT doc_id, pos, word, painted_once FROM p WHERE painted_once = again AND replace(word, word[1], '') <> ''""",
     "shown_texts": f"SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains({_BARE.format('d.text')}, {_BARE.format('b.text')})",
     "unshown_texts": f"WITH q AS (SELECT doc_id + 1 AS doc_id, substr(text, 1, 12) AS value FROM documents) SELECT q.doc_id, value FROM q LEFT JOIN documents d USING (doc_id) WHERE NOT contains(coalesce({_BARE.format('d.text')}, ''), {_BARE.format('value')})",
     "bare_text": f"SELECT page_id, length({_BARE.format('html')}) AS n, md5({_BARE.format('html')}) AS digest FROM pages",

@@ -45,7 +45,10 @@ def batch_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.batch(asked, sizes, "doc_id").select("request", F.col("pos").cast("long").alias("pos"), "doc_id", "n_chars", "error")
 
 
-BATCH_SQL = "SELECT 1 AS request, i AS pos, i * 3 AS doc_id, n_chars, CASE WHEN d.doc_id IS NULL THEN 'not found' END AS error FROM range(1000) t(i) LEFT JOIN documents d ON d.doc_id = i * 3"
+BATCH_SQL = """
+WITH d AS (SELECT doc_id // 1000 AS request, doc_id, n_chars FROM documents)
+SELECT request, row_number() OVER (PARTITION BY request ORDER BY doc_id) - 1 AS pos, doc_id, n_chars, CAST(NULL AS VARCHAR) AS error FROM d
+UNION ALL SELECT request, count(*) AS pos, -1 - abs(request) AS doc_id, NULL, 'not found' FROM d GROUP BY request"""
 
 
 def top_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
