@@ -59,3 +59,48 @@ def detached(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
     amounts = after.select(key, F.explode(F.array(F.col("block") - 1, F.col("block") - 2)).alias("block"), F.filter(F.split("paragraph", r"\s+"), T.is_amount).alias("after")).where(F.size("after") > 0)
     out = amounts.join(held, [key, "block"]).withColumn("amounts", F.slice(F.array_except("after", "held"), 1, most))
     return out.where(F.size("amounts") > 0).select(key, F.col("block").cast("long").alias("block"), F.array_join("amounts", " ").alias("amounts"))
+
+
+def not_rows(lines: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
+    """Lines (by, items) that are no row of the tables of `held` (by, row): neither as a whole nor with every item a cell.
+
+    Items and cells are compared bare; empty items count as any cell.
+    """
+    bare = lambda c: T.bare(c)
+    split = held.select(*by, F.col("row"), F.filter(F.transform(F.split("row", r"\|"), bare), lambda c: c != "").alias("cells"))
+    known = split.groupBy(*by).agg(F.collect_set(bare(F.col("row"))).alias("rows_"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells_"))
+    whole = bare(F.array_join("items", " "))
+    every = F.forall(F.transform("items", bare), lambda c: (c == "") | F.array_contains("cells_", c))
+    out = lines.join(known, by, "left")
+    return out.where(F.col("rows_").isNull() | ~(F.array_contains("rows_", whole) | every)).drop("rows_", "cells_")
+
+
+def on_label_lines(amounts: DataFrame, labels: DataFrame, by: list[str], band: float) -> DataFrame:
+    """Groups of which more than half of the amounts (by, y) stand within a band of a label's height (by, y).
+
+    Returns by, n_read and n_on_rows. Heights meet in steps of the band, so no group's pairs are all made.
+    """
+    step = lambda df: df.withColumn("step", F.floor(F.col("y") / band))
+    own = step(amounts.select(*by, "y")).withColumn("amount", F.monotonically_increasing_id())
+    near = step(labels.select(*by, F.col("y").alias("y"))).groupBy(*by, "step").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    met = own.select(*by, "amount", "y", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")).join(near, [*by, "step"])
+    # Of a step's labels the lowest and the highest decide: a step is one band high.
+    hit = met.where((F.abs(F.col("y") - F.col("low")) <= band) | (F.abs(F.col("y") - F.col("high")) <= band) | F.col("y").between(F.col("low"), F.col("high")))
+    counted = hit.groupBy(*by).agg(F.count_distinct("amount").alias("n_on_rows"))
+    return own.groupBy(*by).agg(F.count("*").alias("n_read")).join(counted, by).where(2 * F.col("n_on_rows") > F.col("n_read"))
+
+
+def cell_styles(cells: DataFrame, rows: DataFrame, spans: DataFrame, sheet: str = "sheet") -> DataFrame:
+    """`cells` (sheet, row, col, style) with the style that applies: its own, its row's, or that of a span of columns.
+
+    `rows` is (sheet, row, row_style), `spans` (sheet, start, end, span_style) with end exclusive. Spans
+    are opened into their columns, which a sheet has few of.
+    """
+    columns = spans.where("end > start").select(sheet, F.explode(F.expr("sequence(start, end - 1)")).alias("col"), "span_style").groupBy(sheet, "col").agg(F.min("span_style").alias("span_style"))
+    out = cells.join(rows, [sheet, "row"], "left").join(columns, [sheet, "col"], "left")
+    return out.withColumn("applies", F.coalesce("style", "row_style", "span_style")).drop("row_style", "span_style")
+
+
+def without_once(have: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `have` less one for each equal row of `gone`."""
+    return have.exceptAll(gone.select(*have.columns))

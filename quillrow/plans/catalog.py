@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillrow.plans import domain, markdown, paged, records
+from quillrow.plans import domain, markdown, paged, positions, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**domain.QUERIES, **markdown.QUERIES, **records.QUERIES, **paged.QUERIES}
-ORACLE_SQL: dict[str, str] = {**domain.ORACLE_SQL, **markdown.ORACLE_SQL, **records.ORACLE_SQL, **paged.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**domain.QUERIES, **markdown.QUERIES, **records.QUERIES, **paged.QUERIES, **positions.QUERIES}
+ORACLE_SQL: dict[str, str] = {**domain.ORACLE_SQL, **markdown.ORACLE_SQL, **records.ORACLE_SQL, **paged.ORACLE_SQL, **positions.ORACLE_SQL}

@@ -45,9 +45,9 @@ def md_detached_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents of one source as one paged document: its pages' lines with heights, and the Markdown."""
     docs = I.table(spark, sf_dir, "documents")
-    page = F.dense_rank().over(I.W.partitionBy("source").orderBy("doc_id")).cast("long")
-    own = docs.select("source", "doc_id", page.alias("page"), F.concat(F.lit("Quarterly report of "), "source", F.lit("\n"), "text", F.lit("\nprinted on page "), page.cast("string")).alias("text"))
-    place = own.select("source", "doc_id", "page")
+    # Pages are numbered on narrow rows, so that no source's texts are sorted.
+    place = docs.select("source", "doc_id").withColumn("page", F.dense_rank().over(I.W.partitionBy("source").orderBy("doc_id")).cast("long")).distinct()
+    own = docs.select("doc_id", "text").join(place, "doc_id").select("source", "doc_id", "page", F.concat(F.lit("Quarterly report of "), "source", F.lit("\n"), "text", F.lit("\nprinted on page "), F.col("page").cast("string")).alias("text"))
     lines = T.lines(own).join(place, "doc_id").select("source", "page", (F.lit(800.0) - F.col("ln") * 10).alias("y"), F.col("raw").alias("text"))
     text = docs.where(F.length("source") == 4).select(F.col("source"), F.concat(F.lit("1 Quarterly report of "), "source").alias("text")).distinct()
     return lines, text
@@ -69,7 +69,8 @@ docs AS (SELECT doc_id, 'Quarterly report of ' || source || chr(10) || text || c
 pl AS (SELECT source, page, 800.0::DOUBLE - ln * 10 AS y, raw AS text FROM lines JOIN own USING (doc_id)),
 e AS (SELECT *, dense_rank() OVER (PARTITION BY source, page ORDER BY y DESC) AS a, dense_rank() OVER (PARTITION BY source, page ORDER BY y) AS z FROM pl),
 k AS (SELECT *, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^\\p{{N}}+', '')), '\\p{{N}}+$', '')) AS line_key FROM e WHERE (a <= 5 OR z <= 5) AND NOT regexp_matches(trim(text), '^(#{{1,6}}\\s|[-*+•]\\s|[0-9]{{1,3}}[.)]\\s)') AND len(list_distinct(string_split(trim(text), ''))) > 1),
-s AS (SELECT source, count(DISTINCT page) AS page_count, greatest(max(y) - min(y), 1.0) AS span FROM pl GROUP BY 1),
+hs AS (SELECT source, page, max(y) - min(y) AS height FROM pl GROUP BY 1, 2),
+s AS (SELECT source, count(*) AS page_count, greatest(avg(height), 1.0) AS span FROM hs GROUP BY 1),
 o AS (SELECT source, line_key, count(DISTINCT page) AS pages, stddev_pop(y) AS spread, min(page) AS first_page, arg_min(text, (page, text)) AS first_text FROM k WHERE length(line_key) >= 10 GROUP BY 1, 2),
 f AS (SELECT source, line_key, pages, first_page, first_text FROM o JOIN s USING (source) WHERE pages >= greatest(3, floor(page_count * 0.3)) AND spread / span < 0.05)"""
 
