@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrow.functions import text as T
+from quillrow.session import ship
 
 # Lines from either edge that count, pages and share of pages that make a repeat, its height's spread.
 EDGE_LINES, LEAST_PAGES, LEAST_SHARE, MOST_SPREAD = 5, 3, 0.3, 0.05
@@ -159,6 +160,7 @@ def repeated(lines: DataFrame, doc: str = "doc_id", key: Callable[[Column, Colum
     Returns doc, line_key, pages, first_page and first_text. Headings, list items, lines of one
     character and short lines don't count.
     """
+    ship(lines.sparkSession)
     heights = lines.groupBy(doc, "page").agg((F.max("y") - F.min("y")).alias("height"))
     pages = heights.groupBy(doc).agg(F.count("*").alias("page_count"), F.greatest(F.avg("height"), F.lit(1.0)).alias("span"))
     kept = edges(lines, doc).where(~T.structural(F.col("text")) & ~T.decorative(F.col("text"))).withColumn("line_key", key(F.col("text"), F.col("page"))).where(F.length("line_key") >= 10)
