@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from quillrow.llm import common, vectors
 
-#: Rows of an index block, and queries of a query block.
-BLOCK, QUERIES = 2048, 4096
-#: Lanes into which the index is dealt for each query block; each keeps a running best list.
+#: Rows of an index block, queries that are scored together, and how many times these a task holds.
+BLOCK, QUERIES, HELD = 2048, 4096, 4
+#: Lanes into which the index is dealt; each keeps a running best list for each query.
 LANES = 16
 
 
@@ -127,35 +127,42 @@ def search(table: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     # Entries in order of their cells, in blocks; rows of one cell may fill many blocks.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = entries.repartitionByRange(parts, "dim", "cell", "row_id").sortWithinPartitions("dim", "cell", "row_id").mapInArrow(_blocks(BLOCK), "dim int, block string, rows binary, cells binary, data binary")
-    asked = pick(queries).select("row_id", F.size("v").alias("dim"), F.transform("v", lambda x: x.cast("double")).alias("v")).repartitionByRange(max(1, parts // 4), "dim", "row_id").mapInArrow(_query_blocks, "dim int, query_block string, ids binary, data binary")
-
-    lanes = F.pmod(F.xxhash64("block"), F.lit(LANES)).cast("int").alias("lane")
-    # Each query block meets each index block of its length once: the stated query set against all rows, in blocks.
-    pairs = blocks.select("dim", lanes, "block", "rows", "cells", F.col("data").alias("entries")).join(common.written(asked, "asked").withColumnRenamed("data", "vectors"), "dim")
+    asked = common.written(pick(queries).select("row_id", F.size("v").alias("dim"), F.transform("v", lambda x: x.cast("double")).alias("v")), "asked")
+    # Queries are dealt into groups that a task can hold, and each group goes to every lane; blocks are dealt into lanes,
+    # and each goes to every group: the stated query set meets all rows once, without a join on a few keys.
+    n = max(1, -(-asked.count() // (HELD * QUERIES)))
+    lane, group = F.pmod(F.xxhash64("block"), F.lit(LANES)).cast("int"), F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
+    empty = F.lit(None)
+    held = asked.select("dim", F.explode(F.expr(f"sequence(0, {LANES - 1})")).alias("lane"), group.alias("set"), F.lit(0).alias("kind"), "row_id", "v", empty.cast("binary").alias("rows"), empty.cast("binary").alias("cells"), empty.cast("binary").alias("entries"))
+    met = blocks.select("dim", lane.alias("lane"), F.explode(F.expr(f"sequence(0, {n - 1})")).alias("set"), F.lit(1).alias("kind"), empty.cast("long").alias("row_id"), empty.cast("array<double>").alias("v"), "rows", "cells", F.col("data").alias("entries"))
 
     def reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (dim, _, _), rows in vectors.runs(batches, ["dim", "query_block", "lane"]):
-            best: _Best | None = None
+        for (dim, _, _), rows in vectors.runs(batches, ["dim", "lane", "set"]):
+            own: list[dict] = []
+            best: list[_Best] | None = None
             for r in rows:
-                if best is None:
-                    best = _Best(r, dim, books.value.get(dim), cells.value[dim], share, k)
-                best.add(r)
-            if best is not None and (out := best.found()) is not None:
-                yield out
-
-    part = pairs.repartition(parts, "dim", "query_block", "lane").sortWithinPartitions("dim", "query_block", "lane").mapInArrow(reranked, "query_id long, vec_id long, score double")
+                if r["kind"] == 0:
+                    own.append(r)
+                    continue
+                if best is None:  # all queries of the group come before its blocks
+                    best = [_Best(own[at : at + QUERIES], dim, books.value.get(dim), cells.value[dim], share, k) for at in range(0, len(own), QUERIES)]
+                for b in best:
+                    b.add(r)
+            yield from (out for b in best or [] if (out := b.found()) is not None)
+
+    part = held.unionByName(met).repartition(parts, "dim", "lane", "set").sortWithinPartitions("dim", "lane", "set", "kind", "row_id").mapInArrow(reranked, "query_id long, vec_id long, score double")
     # Best of the lanes: at most LANES * k rows for each query.
     order = "row_number() over (partition by query_id order by score desc, vec_id) as rank"
     return part.selectExpr("query_id", order, "vec_id", "score").where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 class _Best:
-    """Running best list of one query block over the index blocks of a lane."""
+    """Running best list of some queries over the index blocks of a lane."""
 
-    def __init__(self, row: dict, dim: int, books, counts: np.ndarray, share: float, k: int) -> None:  # noqa: ANN001
+    def __init__(self, rows: list[dict], dim: int, books, counts: np.ndarray, share: float, k: int) -> None:  # noqa: ANN001
         self.k = k
-        self.ids = np.frombuffer(row["ids"], np.int64)
-        self.q = np.frombuffer(row["vectors"], np.float64).reshape(len(self.ids), dim)
+        self.ids = np.array([r["row_id"] for r in rows], np.int64)
+        self.q = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dim)
         wanted = max(int(np.ceil(share * counts.sum())), k + 1)
         self.visit = np.zeros((len(self.ids), counts.size), bool)
         if books is None:
@@ -171,10 +178,17 @@ class _Best:
     def add(self, row: dict) -> None:
         rows, cells = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["cells"], np.int64)
         x = np.frombuffer(row["entries"], np.float64).reshape(len(rows), -1)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(cells) != 0]))
         for at in range(0, len(self.ids), 256):
-            q = self.q[at : at + 256]
-            s = q @ x.T
-            s[~self.visit[at : at + 256][:, cells]] = -np.inf
+            q, visit = self.q[at : at + 256], self.visit[at : at + 256]
+            s = np.full((len(q), len(rows)), -np.inf)
+            # Entries of a cell are one stretch of the block; only the queries that visit it meet them.
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
+                own = np.flatnonzero(visit[:, cells[a]])
+                if len(own) == len(q):
+                    s[:, a:b] = q @ x[a:b].T
+                elif len(own):
+                    s[own, a:b] = q[own] @ x[a:b].T
             s[self.ids[at : at + 256, None] == rows[None, :]] = -np.inf
             # The product only preselects; what may be among the best is scored again, term by term in order.
             floor = self.score[at : at + 256, -1] - 1e-9
@@ -209,24 +223,6 @@ def _blocks(size: int):  # noqa: ANN202
     return run
 
 
-def _query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("dim", pa.int32()), ("query_block", pa.string()), ("ids", pa.binary()), ("data", pa.binary())])
-    by: dict[int, list[dict]] = {}
-
-    def made(dim: int, part: list[dict]) -> pa.RecordBatch:
-        name = f"{dim}:{part[0]['row_id']}:{part[-1]['row_id']}:{len(part)}"
-        return pa.RecordBatch.from_pylist([{"dim": dim, "query_block": name, "ids": np.array([x["row_id"] for x in part], np.int64).tobytes(), "data": np.array([x["v"] for x in part], np.float64).tobytes()}], schema=schema)
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            part = by.setdefault(r["dim"], [])
-            part.append(r)
-            if len(part) == QUERIES:
-                yield made(r["dim"], by.pop(r["dim"]))
-    for dim, part in by.items():
-        yield made(dim, part)
-
-
 def _last(rows: Iterator[dict]) -> Iterator[tuple[bool, dict]]:
     """Each row, with whether it is the last."""
     held = None

@@ -29,7 +29,7 @@ from quillrow.llm.ann import _last
 from quillrow.llm.components import components, local_stars
 
 #: Rows of a block, rows at which the recursion compares outright, and grid dimensions.
-BLOCK, LEAF, DIMS = 1024, 128, 8
+BLOCK, LEAF, DIMS = 4096, 128, 8
 
 
 def principal(rows: list[np.ndarray]) -> dict[int, np.ndarray]:

@@ -51,7 +51,7 @@ def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     out = pii.detect(read(spark, sf_dir, "documents"))
     added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans_text().alias("spans"), added.alias("n_added"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans_text().alias("spans"), added.alias("n_added"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_gumbel_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(read(spark, sf_dir, "documents"))
     live = F.size(F.filter("spans", lambda s: s["standing"] == "live")).cast("long")
     copied = F.size(F.filter("spans", lambda s: s["standing"] == "copied")).cast("long")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans_text().alias("spans"), live.alias("n_live"), copied.alias("n_copied"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans_text().alias("spans"), live.alias("n_live"), copied.alias("n_copied"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
