@@ -36,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +49,8 @@ SHORT = 1 << 16
 BUCKET = 1_000_000
 
 _SPACE = re.compile(rb"\s")
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
+_BYTES = np.random.default_rng(400).integers(1, 1 << 64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _power: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -95,7 +96,13 @@ def words_of(text: str) -> np.ndarray:
     while at < len(data):
         cut = _SPACE.search(data, at + PIECE)
         end = cut.start() if cut else len(data)
-        out.append(np.array([xxhash.xxh64_intdigest(w) for w in data[at:end].split()], np.uint64))
+        x = np.frombuffer(data, np.uint8, end - at, at)
+        solid = np.zeros(len(x) + 2, np.int8)
+        solid[1:-1] = ~_BLANK[x]
+        edge = np.flatnonzero(np.diff(solid))  # starts and ends in turn
+        power, inverse = _powers(len(x) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[x] * power[:-1], dtype=np.uint64)])
+        out.append(_mixed((sums[edge[1::2]] - sums[edge[::2]]) * inverse[edge[::2]]))
         at = end
     return np.concatenate(out)
 
@@ -217,18 +224,18 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, words: bool = Fa
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f"t{k}" for k in range(TOKENS)]
+        names, seen = [f"t{k}" for k in range(TOKENS)], set()
         for batch in batches:
-            for r in batch.to_pylist():
+            new = [i for i, n in enumerate(batch.column("number").to_pylist()) if n not in seen and not seen.add(n)]
+            for r in batch.take(pa.array(new, pa.int64())).to_pylist():
                 s = np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in r["parts"]])
                 t = tokens(read(r["text"]), s, span).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*[pa.array(t[:, k].copy()) for k in range(TOKENS)], pa.array(np.full(len(s), r["number"])), pa.array(s.astype(np.int32))], names=[*names, "number", "start"])
 
     key = [f"t{k}" for k in range(TOKENS)]
     ddl = ", ".join(f"{k} long" for k in key)
-    # One row of each text, whatever the number of its copies: copies are told before they are shuffled.
-    once = texts.join(sorted_.select("uid"), "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text"))
-    wanted = once.join(sorted_.select("uid", "number", "parts"), "uid").select("text", "number", "parts")
+    # Copies of a text come to one task, or to a few where their group is split; each task reads one of them.
+    wanted = texts.join(sorted_.select("uid", "number", "parts"), "uid").select("text", "number", "parts")
     made = wanted.mapInArrow(suffixes, f"{ddl}, number long, start int").repartitionByRange(parts, *key, "number", "start")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +301,7 @@ def removed(docs: DataFrame, span: int = 400, gram: int = GRAM, passage: int | N
     common.prepare(docs.sparkSession)
     runs = repeats(docs, span, gram)
     if passage:
-        said = repeats(docs, passage, passage * 5 // 8, words=True).withColumnRenamed("runs", "passages")
+        said = repeats(docs, passage, passage // 3, words=True).withColumnRenamed("runs", "passages")
         runs = common.written(runs.join(said, "uid", "full"), "both")
     else:
         runs = runs.withColumn("passages", F.lit(None).cast(runs.schema["runs"].dataType))
