@@ -51,7 +51,9 @@ LEAST = (4, 5)
 #: Bands of the shingle sets' least hashes, and hashes of a band: sets of similarity 0.8 share a band with a chance of 0.998.
 BANDS, ROWS = 16, 5
 #: Words of the sketches of sets in crowded groups, and bits that differ at most: 4.5 deviations above the mean of a similarity of 0.8.
-SKETCH, SKETCH_BITS = 32, 383
+SKETCH, SKETCH_BITS = 64, 723
+#: Bits that differ in sketches at a similarity of about 0.8, on average.
+NEAR_BITS = 600
 #: Pairs of a group that are checked one by one at once; a group of more gives stars first.
 FEW = 64
 
@@ -144,6 +146,26 @@ def segments_for(n: int, within: int) -> int:
     return MOST_SEGMENTS
 
 
+def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some pairs those that join labels, no more than needed; `label`, by place, is brought up to date."""
+    u, v = [x[:0]], [y[:0]]
+    while True:
+        high, low = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
+        far = np.flatnonzero(high != low)
+        if not len(far):
+            return np.concatenate(u), np.concatenate(v)
+        x, y, high, low = x[far], y[far], high[far], low[far]
+        # Each label goes to one smaller one, so no pair closes a circle.
+        tops, at = np.unique(high, return_index=True)
+        u.append(x[at])
+        v.append(y[at])
+        parent = np.arange(len(label))
+        parent[tops] = low[at]
+        while not np.array_equal(parent[parent], parent):
+            parent = parent[parent]
+        label[:] = parent[label]
+
+
 def linked(fps: np.ndarray, more: np.ndarray, group: np.ndarray, side: np.ndarray, within: int, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs of one group (rows sorted by group) within so many bits.
 
@@ -188,8 +210,9 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
     Nodes may have bands, keys of which each makes its nodes meet; without them they meet by segments.
     They may also have n, the size of their set of shingles: then pairs whose sizes alone keep them
     below LEAST are left out, and all others returned, but in groups of more than FEW pairs, which give
-    stars and a link of each of their nodes with itself. If they have label and sketch, every pair of
-    different labels whose sketches are near is returned.
+    a link of each of their nodes with itself. If they have sketch, the pairs of a forest that spans
+    what near sketches join are returned; if they have label too, every pair of different labels whose
+    sketches aren't far.
 
     By segments, every pair within so many bits meets; where `segments` and `agree` are given, pairs
     that differ in `segments - agree` bits or fewer always meet, and others mostly while bits fall
@@ -239,18 +262,22 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
             more = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH) if "sketch" in own_columns else None
             new = np.any([np.diff(col[c]) != 0 for c in ("meet", "i", "j")], axis=0)
             group = np.concatenate([[0], np.cumsum(new)])
-            u, v = [], []
+            u, v, label = [], [], np.arange(len(group))
             for x, y in linked(col["fp"].view(np.uint64), col["more"].view(np.uint64), group, col["side"], within, wide):
                 if "n" in col:
                     ok = LEAST[1] * np.minimum(col["n"][x], col["n"][y]) >= LEAST[0] * np.maximum(col["n"][x], col["n"][y])
                     x, y = x[ok], y[ok]
-                if "label" in col:
-                    ok = col["label"][x] != col["label"][y]
+                if more is not None:
+                    ok = (col["label"] if "label" in col else label)[x] != (col["label"] if "label" in col else label)[y]
                     x, y = x[ok], y[ok]
                     for at in range(0, len(x), CHUNK):
-                        ok = np.bitwise_count(more[x[at : at + CHUNK]] ^ more[y[at : at + CHUNK]]).sum(axis=1, dtype=np.int64) <= SKETCH_BITS
-                        a, b = col["rep"][x[at : at + CHUNK][ok]], col["rep"][y[at : at + CHUNK][ok]]
+                        a, b = x[at : at + CHUNK], y[at : at + CHUNK]
+                        ok = np.bitwise_count(more[a] ^ more[b]).sum(axis=1, dtype=np.int64) <= (SKETCH_BITS if "label" in col else NEAR_BITS)
+                        a, b = a[ok], b[ok]
+                        if "label" not in col:
+                            a, b = joined(label, a, b)
                         if len(a):
+                            a, b = col["rep"][a], col["rep"][b]
                             yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)}, schema=schema)
                 elif len(x):
                     u.append(x)
@@ -259,10 +286,11 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
                 x, y = np.concatenate(u), np.concatenate(v)
                 many = np.bincount(group[x])[group[x]] > FEW if "n" in col else np.ones(len(x), bool)
                 u, v = col["rep"][x], col["rep"][y]
-                a, b = local_stars(u[many], v[many])
                 if "n" in col:
                     own = np.unique(np.concatenate([u[many], v[many]]))
-                    a, b = np.concatenate([a, np.maximum(u, v)[~many], own]), np.concatenate([b, np.minimum(u, v)[~many], own])
+                    a, b = np.concatenate([np.maximum(u, v)[~many], own]), np.concatenate([np.minimum(u, v)[~many], own])
+                else:
+                    a, b = local_stars(u, v)
                 yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
 
         for batch in batches:
@@ -343,10 +371,10 @@ def deduplicated(docs: DataFrame, size: int = 5, within: int = 24, wide: int = 3
     of 0.8 is a cosine of about 0.89, at which 19.4 of 128 bits differ on average with a deviation of
     4.1: `wide` is 4.5 deviations above it and `within`, for each word, 5.
 
-    Of groups with many pairs stars are checked first. Pairs that these links have not joined are then
-    compared by longer sketches of their sets, at which a similarity of 0.71 is all that is still let
-    through, and only what is left is joined with the sets: a large group of copies, near or not so
-    near, doesn't cost the square of its rows there. Rows without a
+    Sets of groups with many pairs get longer sketches. A forest of pairs with near sketches is checked
+    first; then all pairs that these links have not joined and whose sketches aren't far, which lets
+    little below a similarity of 0.74 through. So a large group of copies, near or not so near, doesn't
+    cost the square of its rows where sets are joined. Rows without a
     doc_id are kept only where no row of their component has one. Columns of any name are carried.
     """
     common.prepare(docs.sparkSession)
@@ -363,12 +391,13 @@ def deduplicated(docs: DataFrame, size: int = 5, within: int = 24, wide: int = 3
     texts = rows.select("row_key", "text")
     met = common.written(links(nodes, within, wide).distinct(), "met")
     links_ = common.written(similar(met, texts, size), "similar")
-    crowded = met.where("a = b").select(F.col("a").alias("rep"))
+    crowded = met.where("a = b")
     if crowded.limit(1).count():
+        near = texts.join(crowded.select(F.col("a").alias("row_key")), "row_key", "left_semi").mapInArrow(sketched, "rep long, sketch binary")
+        left = common.written(nodes.join(near, "rep"), "left")
+        links_ = links_.unionByName(common.written(similar(links(left, within, wide).distinct(), texts, size), "similar"))
         first = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
-        near = texts.join(crowded.select(F.col("rep").alias("row_key")), "row_key", "left_semi").mapInArrow(sketched, "rep long, sketch binary")
-        left = common.written(nodes.join(near, "rep").join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "left")
-        rest = common.written(links(left, within, wide).distinct(), "rest")
+        rest = common.written(links(left.join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")), within, wide).distinct(), "rest")
         links_ = links_.unionByName(common.written(similar(rest, texts, size), "similar"))
     reached = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "component_id")
     placed = known.join(reached, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))

@@ -142,6 +142,57 @@ def stretches(data: bytes | np.ndarray, span: int, gram: int) -> Iterator[tuple[
         yield least[first], _mixed(h.of(first, last + span) + (last - first).astype(np.uint64)), first + base, last - first + 1, twice
 
 
+def stretches_of(seq: bytes | np.ndarray, owner: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The stretches of some texts that stand after each other, at once; owner is the text of each byte or word.
+
+    Returns what stretches() gives for each text, first counted from the text's start, and the texts.
+    """
+    width = span - gram + 1
+    if len(seq) < span:
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, bool, np.int64))
+    h = Hashes(seq)
+    at = np.arange(len(seq) - gram + 1)
+    grams = h.of(at, at + gram)
+    least = least_in_windows(grams, width)
+    # Suffixes whose first `span` bytes lie in one text.
+    own = np.flatnonzero(owner[: len(least)] == owner[span - 1 :])
+    new = np.ones(len(own), bool)
+    new[1:] = (np.diff(own) != 1) | (least[own[1:]] != least[own[:-1]]) | (owner[own[1:]] != owner[own[:-1]])
+    begin = np.flatnonzero(new)
+    first, last = own[begin], own[np.append(begin[1:] - 1, len(own) - 1)] if len(own) else own
+    size = last - first + width
+    which = np.repeat(np.arange(len(first)), size)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size - first, size)
+    twice = np.bincount(which[grams[place] == np.repeat(least[first], size)], minlength=len(first)) > 1
+    text = owner[first]
+    return least[first], _mixed(h.of(first, last + span) + (last - first).astype(np.uint64)), first - np.searchsorted(owner, text), last - first + 1, twice, text
+
+
+def sequences(texts: list[str], words: bool, most: int) -> Iterator[tuple[list[int], bytes | np.ndarray, np.ndarray]]:
+    """Texts of up to `most` bytes after each other: (their places, their bytes or words, the text of each of these)."""
+    held: list[int] = []
+    data: list[bytes] = []
+    size = 0
+
+    def joined() -> tuple[list[int], bytes | np.ndarray, np.ndarray]:
+        own = words_of("\n".join(x.decode("utf-8", "surrogatepass") for x in data)) if words else b"".join(data)
+        count = [len(x.split()) if words else len(x) for x in data]
+        return held, own, np.repeat(np.arange(len(data)), count)
+
+    for i, t in enumerate(texts):
+        b = t.encode("utf-8", "surrogatepass")
+        if len(b) > most:
+            continue
+        if size + len(b) > PIECE and held:
+            yield joined()
+            held, data, size = [], [], 0
+        held.append(i)
+        data.append(b)
+        size += len(b) + 1
+    if held:
+        yield joined()
+
+
 def tokens(data: bytes | np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
     """TOKENS hashes of each suffix's first `span` bytes."""
     out = np.empty((len(starts), TOKENS), np.uint64)
@@ -197,22 +248,17 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, words: bool = Fa
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, uid in zip(batch.column("text").to_pylist(), batch.column("uid").to_pylist(), strict=True):
-                for least, whole, first, n, twice in stretches(read(text), span, gram):
-                    yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([uid] * len(first), pa.binary()), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(twice)], schema=found)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in sieve(batches):
-            held.append(b)
-            if len(held) == 256:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held = []
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            texts, uids = batch.column("text").to_pylist(), batch.column("uid")
+            for places, seq, owner in sequences(texts, words, PIECE):
+                least, whole, first, n, twice, text = stretches_of(seq, owner, span, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), uids.take(pa.array(np.array(places)[text])), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(twice)], schema=found)
+            for i, t in enumerate(texts):
+                if len(t) > PIECE // 4 and len(data := t.encode("utf-8", "surrogatepass")) > PIECE:
+                    for least, whole, first, n, twice in stretches(read(t) if words else data, span, gram):
+                        yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([uids[i].as_py()] * len(first), pa.binary()), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(twice)], schema=found)
 
     # Computed twice rather than stored: the sieve is cheap, its table is not.
-    each = texts.mapInArrow(joined, "least long, whole long, uid binary, first long, n long, twice boolean")
+    each = texts.mapInArrow(sieve, "least long, whole long, uid binary, first long, n long, twice boolean")
     live = common.written(each.groupBy("least").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("least"), "live")
     some = common.written(each.join(live, "least"), "some")
     twins = common.written(some.groupBy("least", "whole").agg(F.count("*").alias("c"), F.max("twice").alias("t"), F.min(F.struct("uid", "first", "n")).alias("s")), "twins")
