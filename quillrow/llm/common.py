@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -82,6 +83,46 @@ def map_rows(df: DataFrame, rows: Callable[[list[dict]], Iterator[dict] | list[d
     return df.mapInArrow(run, ddl)
 
 
+#: How each operator's memory of words or models in a worker process is emptied, and the operator that the process serves.
+_emptied: dict[str, Callable[[], object]] = {}
+_served = [""]
+
+
+def remembers(owner: str, empty: Callable[[], object]) -> None:
+    """Registers what empties an operator's memory in a worker process."""
+    _emptied[owner] = empty
+
+
+def serve(owner: str) -> None:
+    """Empties the memories of all other operators: Spark hands a worker process from stage to stage."""
+    if _served[0] != owner:
+        _served[0] = owner
+        for name, empty in _emptied.items():
+            if name != owner:
+                empty()
+        gc.collect()
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def served(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapper of batches that holds no operator's memory but its own, and none that is free when it ends."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve(owner)
+        yield from run(batches)
+        release()
+
+    return mapped
+
+
 def smallest(df: DataFrame, group: str, key: str, most: int) -> dict:
     """For each value of `group` the greatest of its `most` smallest distinct keys; keys are 64-bit hashes.
 

@@ -141,7 +141,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"bucket": np.append(at, -1), "n": np.append(df[at], n)}, schema=pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
 
-    counts = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2**BITS + 1 rows
+    counts = docs.select("text").mapInArrow(common.served(run, "language"), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2**BITS + 1 rows
     df = np.zeros(SIZE + 1)
     df[counts.bucket] = counts.n
     return df[:SIZE], int(df[SIZE])
@@ -158,7 +158,7 @@ def train(docs: DataFrame, max_rows: int = 1200, holdout: float = 0.2) -> Model:
     for lang, h in bounds.items():
         wanted = wanted | ((F.col("lang") == lang) & (F.col("h") <= h))
     langs = sorted(bounds)
-    sample = labelled.where(wanted).select("h", "lang", "text").mapInArrow(_features, "h long, lang string, at array<int>, share array<float>").toPandas()
+    sample = labelled.where(wanted).select("h", "lang", "text").mapInArrow(common.served(_features, "language"), "h long, lang string, at array<int>, share array<float>").toPandas()
     # A row repeated under one doc_id shares its hash, so the bound is enforced once more here.
     sample = sample.sort_values(["lang", "h"], kind="stable").groupby("lang").head(max_rows)
     df, n = document_frequencies(labelled)
@@ -192,6 +192,7 @@ def predict(docs: DataFrame, model: Model, text: Column | None = None) -> DataFr
     def said(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
+        common.serve("language")
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     out = docs.withColumn("said_", said(F.col("text") if text is None else text))

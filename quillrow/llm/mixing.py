@@ -47,6 +47,7 @@ LEAST_DOCUMENTS = 3
 #: Words whose buckets a worker remembers.
 MOST_WORDS = 400_000
 _buckets: dict[str, tuple[int, ...]] = {}
+common.remembers("mixing", _buckets.clear)
 
 
 def _hashed(part: str) -> int:
@@ -95,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], max_rows: int =
     low = reduce(or_, [(F.col("domain") == n) & (F.col("h") <= h) for n, h in bounds.items()], F.lit(False))
     # At most max_rows labels of each domain, so this side is short whatever the corpus.
     rows = docs.select("doc_id", "text").join(F.broadcast(asked.where(low)), "doc_id").dropDuplicates(["doc_id", "domain"])
-    found = rows.select("domain", "h", "text").mapInArrow(_sample, "domain string, h long, at array<int>").toPandas().sort_values(["domain", "h"], kind="stable")
+    found = rows.select("domain", "h", "text").mapInArrow(common.served(_sample, "mixing"), "domain string, h long, at array<int>").toPandas().sort_values(["domain", "h"], kind="stable")
     seen = [n for n in names if (found["domain"] == n).any()]
     if not seen:
         return Domains(names, np.zeros((language.SIZE, len(names)), np.float32), np.zeros(len(names)), 1.0)
@@ -134,7 +135,7 @@ def memberships(docs: DataFrame, model: Domains) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=[*others, "n_tokens", "posterior"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.select(*others, "text").mapInArrow(run, f"{ddl}, n_tokens long, posterior array<double>")
+    return docs.select(*others, "text").mapInArrow(common.served(run, "mixing"), f"{ddl}, n_tokens long, posterior array<double>")
 
 
 def _matrix(column: pa.Array, domains: int) -> np.ndarray:

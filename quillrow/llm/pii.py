@@ -456,6 +456,7 @@ def redacted(docs: DataFrame, net: Network | None = None) -> DataFrame:
     def clean(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
+        common.serve("pii")
         given = [t or "" for t in texts]
         return pd.Series([None if t is None else redact(t, base + new) for t, (base, new) in zip(texts, all_spans(given, held.value), strict=True)], dtype=object)
 

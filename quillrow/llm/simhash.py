@@ -201,7 +201,7 @@ def fingerprints(docs: DataFrame, size: int = 4, wide: bool = False) -> DataFram
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *words], names=[*others, "fp", "more"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.select(*others, "text").mapInArrow(run, f"{ddl}, fp long, more long")
+    return docs.select(*others, "text").mapInArrow(common.served(run, "simhash"), f"{ddl}, fp long, more long")
 
 
 def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None = None, agree: int | None = None) -> DataFrame:
@@ -243,7 +243,7 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
                 yield pa.RecordBatch.from_pydict({"meet": meet.view(np.int64), **{c: batch.column(c) for c in own_columns}}, schema=schema)
 
     # Computed twice, for the counts and for the pairs, rather than stored.
-    rows = nodes.select(*own_columns, *(["bands"] if banded else [])).mapInArrow(meeting, ", ".join(f"{c} {'binary' if c == 'sketch' else 'long'}" for c in ("meet", *own_columns)))
+    rows = nodes.select(*own_columns, *(["bands"] if banded else [])).mapInArrow(common.served(meeting, "simhash"), ", ".join(f"{c} {'binary' if c == 'sketch' else 'long'}" for c in ("meet", *own_columns)))
     long = common.written(rows.groupBy("meet").count().where(F.col("count") > BLOCK).select("meet", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "long")
     own = F.pmod(F.xxhash64("fp", "more", "rep"), F.col("blocks")).cast("int")
     # Block i of b meets itself and every other block once: pairs (i, j), i <= j.
@@ -309,7 +309,7 @@ def links(nodes: DataFrame, within: int, wide: int = 128, segments: int | None =
             yield from found(pa.Table.from_batches(held))
 
     met = short.unionByName(split).repartition(parts, "meet", "i", "j").sortWithinPartitions("meet", "i", "j")
-    return met.mapInArrow(compared, "a long, b long")
+    return met.mapInArrow(common.served(compared, "simhash"), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, within: int = 4) -> DataFrame:
@@ -340,7 +340,7 @@ def shingled(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (fp, more, n)), pa.array(digest, pa.string()), keys], names=["row_key", "doc_id", "fp", "more", "n", "digest", "bands"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select("row_key", "doc_id", "text").mapInArrow(run, f"row_key {kinds['row_key']}, doc_id {kinds['doc_id']}, fp long, more long, n long, digest string, bands array<long>")
+    return docs.select("row_key", "doc_id", "text").mapInArrow(common.served(run, "simhash"), f"row_key {kinds['row_key']}, doc_id {kinds['doc_id']}, fp long, more long, n long, digest string, bands array<long>")
 
 
 def similar(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
@@ -353,7 +353,7 @@ def similar(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
 
     out = pairs.where("a <> b")
     wanted = out.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
-    sets = rows.join(wanted, "row_key", "left_semi").mapInArrow(run, "key long, s array<long>")
+    sets = rows.join(wanted, "row_key", "left_semi").mapInArrow(common.served(run, "simhash"), "key long, s array<long>")
     for c in "ab":
         out = out.join(sets.select(F.col("key").alias(c), F.col("s").alias(f"s{c}")), c)
     # i / (na + nb - i) >= p / q without division.
@@ -393,7 +393,7 @@ def deduplicated(docs: DataFrame, size: int = 5, within: int = 24, wide: int = 3
     links_ = common.written(similar(met, texts, size), "similar")
     crowded = met.where("a = b")
     if crowded.limit(1).count():
-        near = texts.join(crowded.select(F.col("a").alias("row_key")), "row_key", "left_semi").mapInArrow(sketched, "rep long, sketch binary")
+        near = texts.join(crowded.select(F.col("a").alias("row_key")), "row_key", "left_semi").mapInArrow(common.served(sketched, "simhash"), "rep long, sketch binary")
         left = common.written(nodes.join(near, "rep"), "left")
         links_ = links_.unionByName(common.written(similar(links(left, within, wide).distinct(), texts, size), "similar"))
         first = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "label")

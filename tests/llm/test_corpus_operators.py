@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -430,3 +431,18 @@ def test_pipeline(spark, tmp_path):
     assert not [r for r in step.collect() if "@example" in r.text] and all(r.n_chars == len(r.text) for r in step.collect())
     last = corpus_pipeline.STAGES[-1][1](spark, step, str(tmp_path))
     assert last.count() == step.count()
+
+
+def test_a_worker_holds_the_words_of_one_operator():
+    """A mapper empties what another operator remembered, keeps its own, and yields what it did before."""
+    from quillrow.llm import common, mixing
+
+    batches = [pa.RecordBatch.from_pydict({"x": [1, 2]}), pa.RecordBatch.from_pydict({"x": []}, schema=pa.schema([("x", pa.int64())]))]
+    same = lambda given: iter(given)
+    common.serve("mixing")
+    mixing.buckets("word")
+    assert list(common.served(same, "mixing")(iter(batches))) == batches
+    assert "word" in mixing._buckets
+    assert list(common.served(same, "pieces")(iter(batches))) == batches
+    assert not mixing._buckets
+    assert mixing.buckets("word") == mixing.buckets("word")
