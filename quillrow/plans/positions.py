@@ -187,11 +187,14 @@ LEFT_SQL = "SELECT l_orderkey, l_returnflag, count(*) AS n FROM (SELECT l_orderk
 
 
 def running_header_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with page numbers inside that a source's pages repeat near their edges, pages being of unequal height."""
+    """Lines with page numbers inside that a source's pages repeat near their edges, pages being of unequal height.
+
+    No page's number exceeds the total beside it: beyond 5,000 the total is the page itself, as a greater number doesn't count.
+    """
     docs = I.table(spark, sf_dir, "documents")
     place = docs.select("source", "doc_id").withColumn("page", F.row_number().over(I.W.partitionBy("source").orderBy("doc_id")).cast("long"))
-    n = F.col("page").cast("string")
-    own = docs.select("doc_id", "text").join(place, "doc_id").select("source", "doc_id", "page", F.concat(F.lit("Report of "), "source", F.lit(" page "), n, F.lit(" of 5000\n"), "text", F.lit("\nPrinted at 10:32:07 on sheet "), n, F.lit("\nInvoice no. "), F.col("doc_id").cast("string"), F.lit(" kept")).alias("text"))
+    n, total = F.col("page").cast("string"), F.greatest(F.col("page"), F.lit(5000)).cast("string")
+    own = docs.select("doc_id", "text").join(place, "doc_id").select("source", "doc_id", "page", F.concat(F.lit("Report of "), "source", F.lit(" page "), n, F.lit(" of "), total, F.lit("\n"), "text", F.lit("\nPrinted at 10:32:07 on sheet "), n, F.lit("\nInvoice no. "), F.col("doc_id").cast("string"), F.lit(" kept")).alias("text"))
     lines = T.lines(own).join(place, "doc_id").select("source", "page", (F.lit(800.0) - F.col("ln") * 10).alias("y"), F.col("raw").alias("text"))
     return running.repeated(lines, "source", running.masked_key).where(F.col("line_key").contains("#"))
 

@@ -76,3 +76,13 @@ def test_split_words_of_whole_texts(spark, tmp_path):
     own, put = {0: (2, 1), 2: (1, 1), 6: (1, 1)}, {1: (1, 1), 2: (1, 0), 3: (1, 1)}
     both = {i: (own.get(i, (0, 0)), put.get(i % 5, (0, 0))) for i in range(len(texts))}
     assert got == {(i, "re-covery", a[0] + b[0], a[1] + b[1]) for i, (a, b) in both.items() if a[0] + b[0]}
+
+
+def test_headers_of_over_5000_pages(spark, tmp_path):
+    """A source's header is one row of all its pages, as its SQL has it, also where there are more than its first pages' total."""
+    docs = [(i, f"text {'abcdefghijk'[i % 11]}" * 3, "wide" if i % 7 else "narrow") for i in range(7600)]
+    got = run(spark, tmp_path, "running_header_masked", documents=(docs, "doc_id long, text string, source string"))
+    n = {s: sum(d[2] == s for d in docs) for s in ("wide", "narrow")}
+    assert n["wide"] > 6000
+    want = {(s, f"Report of {s} page # of #", k, 1, f"Report of {s} page 1 of 5000") for s, k in n.items()}
+    assert {tuple(r) for r in got} == want | {(s, "Printed at #:#:# on sheet #", k, 1, "Printed at 10:32:07 on sheet 1") for s, k in n.items()}
