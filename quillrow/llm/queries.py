@@ -55,10 +55,10 @@ def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gumbel_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document and two sampled segmentations, as digests."""
+    """Ids of every document and of two sampled segmentations, with their digests."""
     import public_tokenizers
 
-    return pieces.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return pieces.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

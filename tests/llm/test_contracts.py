@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillrow.llm import language, mixing, pieces, pii, queries, secrets, simhash, suffixes
 
-pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("public_tokenizers")
 CLASHING = "doc_id long, text string, lang string, source string, row_key string, row string, score double, lang_pred string, n_copies long, mix_key long, uid string, key string"
 
 
@@ -182,3 +182,17 @@ def test_word_cache_changes_nothing(monkeypatch):
     for (a, x), (b, y) in zip(made(pieces.Vocabulary(path, 1.0), 3), want, strict=True):
         assert a == b and [s[0] for s in x] == [s[0] for s in y]
         assert np.allclose([s[1:] for s in x], [s[1:] for s in y])
+
+
+def test_pieces_query_returns_all_ids(spark, tmp_path):
+    """The registered query gives the ids themselves, of each text and of both samples, and they say the whole text."""
+    model = pieces.vocabulary(tokenizers.path("piece_bpe_32k.model"), 1.0).model
+    texts = [None, "", "one", "the calm river " * 9, "".join(f"word{i} of the stone\n" for i in range(3000))]
+    out = {r.doc_id: r for r in queries.QUERIES["op6_gumbel_sentencepiece"](spark, corpus(spark, tmp_path, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        r = out[i]
+        assert r.ids == model.encode(t or "") and all(model.decode(s.ids) == (t or "") for s in r.samples), i
+        for x in (r, *r.samples):
+            assert x.n_pieces == len(x.ids) and x.ids_crc32 == zlib.crc32(np.array(x.ids, "<u4").tobytes())
+    assert len(out[4].samples) == 2 and out[4].samples[0].ids != out[4].samples[1].ids
