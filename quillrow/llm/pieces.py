@@ -47,11 +47,13 @@ from pyspark.sql import DataFrame
 from quillrow.llm import common
 
 #: Characters of a chunk of whole texts, and words of a chunk that are walked at once.
-CHARS_AT_ONCE, WALKED_AT_ONCE = 1_000_000, 16_000
+CHARS_AT_ONCE, WALKED_AT_ONCE = 500_000, 16_000
 #: Ids of an Arrow batch of results, about.
 BATCH_IDS = 500_000
 #: Bytes of the lattices that a worker keeps between chunks.
-MOST_BYTES = 128 << 20
+MOST_BYTES = 96 << 20
+#: Words that are copied at once where the most used are kept.
+KEPT_AT_ONCE = 4_000
 _WORD = re.compile("▁*[^▁]+|▁+")
 #: Bytes of a piece that are compared by eights.
 _WIDE = 24
@@ -339,14 +341,16 @@ class Known:
         out, p = Known(), self.parts
         texts = list(self.words)
         out.words = {texts[i]: n for n, i in enumerate(kept.tolist())}
-        node, _, first = ragged(self.first[kept].astype(np.int64), self.size[kept].astype(np.int64))
-        edge, _, off = ragged(self.off[node].astype(np.int64), self.count[node].astype(np.int64))
-        made = {"first": first, "size": self.size[kept], "uses": np.zeros(len(kept), np.int32), "off": off, "count": self.count[node], "piece": self.piece[edge], "mean": self.mean[edge]}
-        if p["ids_off"].size:
-            ids, _, at = ragged(self.ids_off[kept].astype(np.int64), self.ids_count[kept].astype(np.int64))
-            made |= {"ids": self.ids[ids], "ids_off": at, "ids_count": self.ids_count[kept]}
-        for k, x in made.items():
-            out.parts[k].extend(x)
+        # A part at a time, as the places of all edges would take more room than the edges.
+        for own in np.split(kept, range(KEPT_AT_ONCE, len(kept), KEPT_AT_ONCE)):
+            node, _, first = ragged(self.first[own].astype(np.int64), self.size[own].astype(np.int64))
+            edge, _, off = ragged(self.off[node].astype(np.int64), self.count[node].astype(np.int64))
+            made = {"first": first + out.parts["off"].size, "size": self.size[own], "uses": np.zeros(len(own), np.int32), "off": off + out.parts["piece"].size, "count": self.count[node], "piece": self.piece[edge], "mean": self.mean[edge]}
+            if p["ids_off"].size:
+                ids, _, at = ragged(self.ids_off[own].astype(np.int64), self.ids_count[own].astype(np.int64))
+                made |= {"ids": self.ids[ids], "ids_off": at + out.parts["ids"].size, "ids_count": self.ids_count[own]}
+            for k, x in made.items():
+                out.parts[k].extend(x)
         return out
 
 

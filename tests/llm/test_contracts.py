@@ -196,3 +196,27 @@ def test_pieces_query_returns_all_ids(spark, tmp_path):
         for x in (r, *r.samples):
             assert x.n_pieces == len(x.ids) and x.ids_crc32 == zlib.crc32(np.array(x.ids, "<u4").tobytes())
     assert len(out[4].samples) == 2 and out[4].samples[0].ids != out[4].samples[1].ids
+
+
+def test_most_used_words_are_copied_in_parts(monkeypatch):
+    """What is kept of a worker's words doesn't depend on how many are copied at once."""
+    v = pieces.Vocabulary(tokenizers.path("piece_bpe_32k.model"), 1.0)
+    words = [f"▁w{i}x{i * i}" for i in range(200)] + ["▁日本", "▁"]
+    v.known.numbers(words, v)
+    v.known.uses[:] = np.arange(len(words)) % 17
+    whole = v.known.often_used(0.6)
+    monkeypatch.setattr(pieces, "KEPT_AT_ONCE", 7)
+    parts = v.known.often_used(0.6)
+    assert 0 < len(whole.words) < len(words) and parts.words == whole.words
+    for k in pieces.Known.KINDS:
+        assert (getattr(parts, k) == getattr(whole, k)).all(), k
+    own = list(parts.words)
+    built = pieces.Known()
+    built.numbers(own, v)
+    for w in own:
+        a, b = parts.words[w], built.words[w]
+        n = [np.arange(x.first[i], x.first[i] + x.size[i]) for x, i in ((parts, a), (built, b))]
+        assert (parts.count[n[0]] == built.count[n[1]]).all()
+        e = [np.concatenate([np.arange(x.off[j], x.off[j] + x.count[j]) for j in m]) for x, m in ((parts, n[0]), (built, n[1]))]
+        assert (parts.piece[e[0]] == built.piece[e[1]]).all() and np.allclose(parts.mean[e[0]], built.mean[e[1]])
+        assert (parts.ids[parts.ids_off[a] :][: parts.ids_count[a]] == built.ids[built.ids_off[b] :][: built.ids_count[b]]).all()
