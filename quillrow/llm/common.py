@@ -63,12 +63,32 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Whether the shuffles of a query are deleted when it ends, not only when the driver collects its garbage.
+_CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a written table: lineage ends here and lost executors cost no recomputation of it."""
+    """`df` as a written table: lineage ends here and lost executors cost no recomputation of it.
+
+    What was shuffled to make it is deleted at once.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANS, None)
+    spark.conf.set(_CLEANS, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANS, before) if before else spark.conf.unset(_CLEANS)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch)
 
 
 def map_rows(df: DataFrame, rows: Callable[[list[dict]], Iterator[dict] | list[dict]], schema: pa.Schema, ddl: str) -> DataFrame:

@@ -261,6 +261,7 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, words: bool = Fa
     each = texts.mapInArrow(sieve, "least long, whole long, uid binary, first long, n long, twice boolean")
     live = common.written(each.groupBy("least").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("least"), "live")
     some = common.written(each.join(live, "least"), "some")
+    common.dropped(live)
     twins = common.written(some.groupBy("least", "whole").agg(F.count("*").alias("c"), F.max("twice").alias("t"), F.min(F.struct("uid", "first", "n")).alias("s")), "twins")
     whole = some.join(twins.where("c > 1").select("least", "whole"), ["least", "whole"], "left_semi").groupBy("uid", "first").agg(F.max("n").alias("n"))
     single = twins.where("c = 1 or t").select("least").distinct()
@@ -324,7 +325,9 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, words: bool = Fa
     # The starts of one text are at most its bytes; runs of them are few.
     each = starts.mapInArrow(packed, "number long, runs array<struct<first:long,n:long>>").join(sorted_.select("number", "uid"), "number").select("uid", "runs")
     twinned = whole.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    return common.written(each.unionByName(twinned).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    runs = common.written(each.unionByName(twinned).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    common.dropped(some, twins, sorted_, out)
+    return runs
 
 
 def covered(runs: list[dict], span: int) -> list[tuple[int, int]]:
@@ -347,8 +350,10 @@ def removed(docs: DataFrame, span: int = 400, gram: int = GRAM, passage: int | N
     common.prepare(docs.sparkSession)
     runs = repeats(docs, span, gram)
     if passage:
-        said = repeats(docs, passage, passage // 3, words=True).withColumnRenamed("runs", "passages")
-        runs = common.written(runs.join(said, "uid", "full"), "both")
+        said = repeats(docs, passage, passage // 3, words=True)
+        both = common.written(runs.join(said.withColumnRenamed("runs", "passages"), "uid", "full"), "both")
+        common.dropped(runs, said)
+        runs = both
     else:
         runs = runs.withColumn("passages", F.lit(None).cast(runs.schema["runs"].dataType))
     own = docs.drop("data", "spans", "kept", *(["n_passage_words"] if passage else []))

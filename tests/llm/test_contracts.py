@@ -220,3 +220,34 @@ def test_most_used_words_are_copied_in_parts(monkeypatch):
         e = [np.concatenate([np.arange(x.off[j], x.off[j] + x.count[j]) for j in m]) for x, m in ((parts, n[0]), (built, n[1]))]
         assert (parts.piece[e[0]] == built.piece[e[1]]).all() and np.allclose(parts.mean[e[0]], built.mean[e[1]])
         assert (parts.ids[parts.ids_off[a] :][: parts.ids_count[a]] == built.ids[built.ids_off[b] :][: built.ids_count[b]]).all()
+
+
+def test_suffixes_leave_no_scratch(spark, monkeypatch):
+    """A query's shuffles are deleted with each written table, and of its tables only the last stays."""
+    import glob
+    import os
+
+    from quillrow.llm import common
+
+    held, made = [], []
+    real = common.written
+
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return [f for d in blocks for f in glob.glob(f"{d}/*/shuffle_*.data")]
+
+    def counted(df, name):
+        before = set(shuffled())
+        out = real(df, name)
+        made.append(out.scratch)
+        held.append(len(set(shuffled()) - before))
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    r = random.Random(5)
+    twin = prose(r, 120)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([twin, "x " + twin, prose(r, 200), twin + " " + prose(r, 90)])], "doc_id long, text string")
+    out = suffixes.removed(docs, 400, passage=51)
+    assert len(out.collect()) == 4 and len(made) > 6 and not any(held)
+    left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert left == made[-1:]
