@@ -18,7 +18,8 @@ table; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,12 +53,39 @@ def ngrams(text: str) -> Iterator[np.ndarray]:
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares."""
+    """Buckets of a text and how often each occurs."""
     total = np.zeros(SIZE, np.int64)
     for g in ngrams(text):
         total += np.bincount(g, minlength=SIZE)
     at = np.flatnonzero(total)
-    return at, total[at] / max(1, total.sum())
+    return at, total[at]
+
+
+def packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Buckets in ascending order and their counts, as few bytes: steps between buckets and counts are mostly small."""
+    return zlib.compress(np.diff(at, prepend=0).astype("<u2").tobytes() + n.astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of what `packed` made."""
+    raw = zlib.decompress(data)
+    size = len(raw) // 6
+    return np.cumsum(np.frombuffer(raw, "<u2", size), dtype=np.int64), np.frombuffer(raw, "<u4", size, 2 * size)
+
+
+@dataclass
+class Rows(Sequence):
+    """Buckets and feature values of packed texts; each is unpacked when it is read, so that the driver holds only bytes."""
+
+    packs: list[bytes]
+    idf: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.packs)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, n = unpacked(self.packs[i])
+        return at, (n / max(1, n.sum(dtype=np.int64))).astype(np.float32).astype(float) * self.idf[at] * SCALE
 
 
 @dataclass
@@ -84,7 +112,7 @@ class Model:
         return self.langs[best], float(p[best])
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 2, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit_ftrl(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 2, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases by FTRL-proximal; l1 and l2 are the elastic net."""
     z, n = np.zeros((SIZE + 1, classes)), np.zeros((SIZE + 1, classes))
 
@@ -95,7 +123,8 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes:
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            at, x = np.append(rows[i][0], SIZE), np.append(rows[i][1], 1.0)
+            own, share = rows[i]
+            at, x = np.append(own, SIZE), np.append(share, 1.0)
             w = weights(at)
             s = x @ w
             p = np.exp(s - s.max())
@@ -141,9 +170,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"bucket": np.append(at, -1), "n": np.append(df[at], n)}, schema=pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
 
-    counts = docs.select("text").mapInArrow(common.served(run, "language"), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2**BITS + 1 rows
+    counts = docs.select("text").mapInArrow(common.served(run, "language"), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2**BITS + 1 rows
     df = np.zeros(SIZE + 1)
-    df[counts.bucket] = counts.n
+    df[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     return df[:SIZE], int(df[SIZE])
 
 
@@ -158,29 +187,30 @@ def train(docs: DataFrame, max_rows: int = 1200, holdout: float = 0.2) -> Model:
     for lang, h in bounds.items():
         wanted = wanted | ((F.col("lang") == lang) & (F.col("h") <= h))
     langs = sorted(bounds)
-    sample = labelled.where(wanted).select("h", "lang", "text").mapInArrow(common.served(_features, "language"), "h long, lang string, at array<int>, share array<float>").toPandas()
+    # Bytes, not lists: a row of numbers becomes an object each in the driver.
+    sample = labelled.where(wanted).select("h", "lang", "text").mapInArrow(common.served(_features, "language"), "h long, lang string, pack binary").toArrow()
     # A row repeated under one doc_id shares its hash, so the bound is enforced once more here.
-    sample = sample.sort_values(["lang", "h"], kind="stable").groupby("lang").head(max_rows)
+    first = sample.select(["h", "lang"]).to_pandas().sort_values(["lang", "h"], kind="stable").groupby("lang").head(max_rows)
+    packs = sample["pack"].take(first.index.to_numpy()).to_pylist()
     df, n = document_frequencies(labelled)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    rows = [(np.asarray(a), np.asarray(s, float) * idf[np.asarray(a)] * SCALE) for a, s in zip(sample["at"], sample["share"], strict=True)]
-    y = sample["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
-    held = (sample["h"].to_numpy() % 1000) / 1000 < holdout
+    y = first["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
+    held = (first["h"].to_numpy() % 1000) / 1000 < holdout
     if held.all() or not held.any():
         held = np.zeros(len(y), bool)
-    w, b = fit_ftrl([r for r, h in zip(rows, held, strict=True) if not h], y[~held], len(langs))
-    logits = np.array([x @ w[at] + b for (at, x), h in zip(rows, held, strict=True) if h]).reshape(-1, len(langs))
-    return Model(langs, (w * idf[:, None] * SCALE).astype(np.float32), b, fit_temperature(logits, y[held]))
+    w, b = fit_ftrl(Rows([p for p, h in zip(packs, held, strict=True) if not h], idf), y[~held], len(langs))
+    logits = np.array([x @ w[at] + b for at, x in Rows([p for p, h in zip(packs, held, strict=True) if h], idf)]).reshape(-1, len(langs))
+    model = Model(langs, (w * idf[:, None] * SCALE).astype(np.float32), b, fit_temperature(logits, y[held]))
+    del sample, first, packs, df, idf, w
+    common.release()
+    return model
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("at", pa.list_(pa.int32())), ("share", pa.list_(pa.float32()))])
+    schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("pack", pa.binary())])
     for batch in batches:
-        out = []
-        for h, lang, text in zip(*(batch.column(c).to_pylist() for c in ("h", "lang", "text")), strict=True):
-            at, share = counted(text)
-            out.append({"h": h, "lang": lang, "at": at.astype(np.int32), "share": share.astype(np.float32)})
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
+        texts = (t.as_py() for t in batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang").cast(pa.string()), pa.array([packed(*counted(t)) for t in texts], pa.binary())], schema=schema)
 
 
 def predict(docs: DataFrame, model: Model, text: Column | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -163,6 +164,23 @@ def test_network_on_all_windows(monkeypatch):
     assert pii.all_spans(texts, net) == some
 
 
+def test_learning_languages_holds_bytes_in_the_driver(spark):
+    """What the model learns from comes to the driver packed, not as an object for each number."""
+    r = random.Random(5)
+    letters = [chr(c) for c in range(0x100, 0x400)]
+    rows = [(i, "".join(r.choices(letters, k=4000)), "ab"[i % 2]) for i in range(120)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).cache()
+    assert own.count() == len(rows)
+    tracemalloc.start()
+    model = language.train(own)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.langs == ["a", "b"] and most < 45e6, most
+    at, n = language.counted(rows[0][1])
+    assert [x.tolist() for x in language.unpacked(language.packed(at, n))] == [at.tolist(), n.tolist()]
+    assert [x.tolist() for x in language.unpacked(language.packed(*language.counted("")))] == [[], []]
+
+
 def test_word_cache_changes_nothing(monkeypatch):
     """Samples don't depend on which words a worker has kept."""
     import public_tokenizers
