@@ -63,6 +63,8 @@ _SORT = np.zeros(256, np.uint8)
 _SORT[list(_MARKS.encode())] = 1
 _P = np.uint64(0x100000001B3)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: What the n-th edge of a node adds to its bits; a node has an edge for each length of a piece at most, and one for its bytes.
+_NTH = np.arange(1 << 10, dtype=np.uint64) * _GOLD
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,7 +89,7 @@ def ragged(off: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """All places off[i] .. off[i] + count[i] in order, the i of each, and where each i starts."""
     start = np.cumsum(count) - count
     owner = np.repeat(np.arange(len(count)), count)
-    return np.arange(len(owner)) - start[owner] + off[owner], owner, start
+    return np.arange(len(owner)) + (off - start).take(owner), owner, start
 
 
 class Vocabulary:
@@ -116,8 +118,16 @@ class Vocabulary:
                 h = ((h * int(_P)) + ord(c) + 1) & mask
                 table.setdefault(h, -1)
             table[h] = i
-        self.hash = np.array(sorted(table), np.uint64)
-        self.piece = np.array([table[h] for h in self.hash.tolist()], np.int64)
+        # Prefix hashes stand by slot, the leading bits of a product; head has each slot's first, several whether it has more.
+        hashes = np.array(list(table), np.uint64)
+        bits = max(4, len(table).bit_length() + 3)
+        self.shift = np.uint64(64 - bits)
+        slot = self.slot(hashes)
+        o = np.argsort(slot, kind="stable")
+        self.hash, self.piece = hashes[o], np.array(list(table.values()), np.int64)[o]
+        filled = np.bincount(slot, minlength=1 << bits)
+        self.head = np.where(filled > 0, np.cumsum(filled) - filled, 0).astype(np.int32)
+        self.several, self.deepest = filled > 1, int(filled.max())
         # Words can be encoded on their own if no piece runs into a word and spaces are all kept.
         self.by_word = m.normalize("a") == "▁a" and m.normalize(" a") == "▁▁a" and not any("▁" in m.id_to_piece(i).lstrip("▁") for i in plain)
         pairs = {p[i : i + 2] for p in map(m.id_to_piece, plain) for i in range(len(p) - 1)}
@@ -138,10 +148,31 @@ class Vocabulary:
         self.eights = np.frombuffer(b"".join(x[:_WIDE].ljust(_WIDE, b"\0") for x in self.says), "<u8").reshape(n, -1).T.copy()
         self.masks = np.frombuffer(b"".join((b"\xff" * min(len(x), _WIDE)).ljust(_WIDE, b"\0") for x in self.says), "<u8").reshape(n, -1).T.copy()
 
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        """The slots of hashes."""
+        return ((h * _GOLD) >> self.shift).view(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each prefix hash; -1 where it is a prefix only, -2 where it is none.
+
+        A hash is compared with others of its slot alone: what stands at another slot's place never equals it.
+        """
+        slot = self.slot(h)
+        at = self.head.take(slot)
+        hit = self.hash.take(at) == h
+        out = np.where(hit, self.piece.take(at), -2)
+        left = np.flatnonzero(self.several.take(slot) & ~hit)
+        for k in range(1, self.deepest):
+            more = np.minimum(at[left] + k, len(self.hash) - 1)
+            hit = self.hash[more] == h[left]
+            out[left[hit]] = self.piece[more[hit]]
+            left = left[~hit]
+        return out
+
     def spell(self, each: list[np.ndarray], said: bytes) -> bool:
         """Whether each of some ids decodes to a normalised text: piece by piece, byte for byte."""
         ids, count = np.concatenate(each).astype(np.intp), np.array([len(x) for x in each])
-        size = self.size[ids]
+        size = self.size.take(ids)
         if not said or not count.all() or size.max() > _WIDE:
             return all(b"".join(map(self.says.__getitem__, x.tolist())) == said for x in each)
         end = np.cumsum(size)
@@ -156,7 +187,7 @@ class Vocabulary:
             if k:
                 own = np.flatnonzero(size > 8 * k)
                 ids, at, size = ids[own], at[own] + 8, size[own]
-            if ((eight[at] ^ self.eights[k][ids]) & self.masks[k][ids]).any():
+            if ((eight.take(at) ^ self.eights[k].take(ids)) & self.masks[k].take(ids)).any():
                 return False
         return True
 
@@ -225,17 +256,18 @@ class Lattices:
         src, length, piece = [], [], []
         single = np.zeros(len(code), bool)
         for n in range(1, v.longest + 1):
-            h = h * _P + code[at + n - 1] + np.uint64(1)
-            k = np.minimum(np.searchsorted(v.hash, h), len(v.hash) - 1)
-            hit = v.hash[k] == h
-            whole = hit & (v.piece[k] >= 0)
-            src.append(at[whole])
-            length.append(np.full(int(whole.sum()), n))
-            piece.append(v.piece[k[whole]])
+            h *= _P
+            h += code.take(at + (n - 1))
+            h += np.uint64(1)
+            found = v.find(h)
+            whole = np.flatnonzero(found >= 0)
+            src.append(at.take(whole))
+            length.append(np.full(len(whole), n))
+            piece.append(found.take(whole))
             if n == 1:
-                single[at[whole]] = True
-            go = hit & (left[at] > n)
-            at, h = at[go], h[go]
+                single[src[0]] = True
+            go = np.flatnonzero((found > -2) & (left.take(at) > n))
+            at, h = at.take(go), h.take(go)
             if not len(at):
                 break
         rare = np.flatnonzero(~single)
@@ -259,13 +291,13 @@ class Lattices:
             w[many] = [v.rare * len(v.bytes_of(-1 - int(p))) for p in self.piece[many]]
         # Backward sums, nodes nearest to their word's end first.
         beta = np.zeros(len(code) + 1)
-        o = np.argsort(left, kind="stable")
+        o = np.argsort(left.astype(np.int16) if size.max(initial=0) < 1 << 15 else left, kind="stable")
         for nodes in np.split(o, np.flatnonzero(np.diff(left[o])) + 1) if len(o) else []:
-            e, owner, start = ragged(self.off[nodes], self.count[nodes])
-            x = w[e] + np.where(self.to[e] < 0, 0.0, beta[self.to[e]])
+            e, owner, start = ragged(self.off.take(nodes), self.count.take(nodes))
+            x = w.take(e) + beta.take(self.to.take(e))  # the last of beta, at -1, stays zero
             top = np.maximum.reduceat(x, start)
-            beta[nodes] = top + np.log(np.add.reduceat(np.exp(x - top[owner]), start))
-        self.cond = w + np.where(self.to < 0, 0.0, beta[self.to]) - beta[src]
+            beta[nodes] = top + np.log(np.add.reduceat(np.exp(x - top.take(owner)), start))
+        self.cond = w + beta.take(self.to) - beta.take(src)
 
 
 class Growing:
@@ -371,7 +403,7 @@ class Sampler:
         self.root = lat.first[words].astype(np.int64)
         self.last = self.root + lat.size[words]
         self.doc_of = np.repeat(np.arange(len(start) - 1), np.diff(start))
-        self.chars = chars
+        self.chars = np.append(chars, 1)  # the last is that of a character's bytes, piece -1 or less
 
     def times(self, w: np.ndarray, cur: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Edges of nodes cur of words w, how many each node has, where each node's start, and their clocks."""
@@ -386,8 +418,33 @@ class Sampler:
 
     def after(self, cur: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """The nodes that edges of nodes lead to."""
-        piece = self.lat.piece[edge]
-        return cur + np.where(piece < 0, 1, self.chars[piece])
+        return cur + self.chars.take(np.maximum(self.lat.piece.take(edge), -1))
+
+    def won(self, node: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The edge of least clock of each node, from its bits, the logarithm of its lead over the second, and the nodes' order in both.
+
+        Nodes with more edges come first, so that the k-th edges of all that have one are a run; clocks are those of `times`.
+        """
+        count = self.lat.count.take(node)
+        o = np.argsort((-count).astype(np.int16), kind="stable")  # short numbers are sorted by their digits
+        has = len(node) - np.cumsum(np.bincount(count))[:-1]
+        off, own = self.lat.off.take(node.take(o)), own.take(o)
+        ends = np.cumsum(has).tolist()
+        e, bits = np.empty(ends[-1], off.dtype), np.empty(ends[-1], np.uint64)
+        for k, (n, end) in enumerate(zip(has.tolist(), ends, strict=True)):
+            np.add(off[:n], k, out=e[end - n : end])
+            np.add(own[:n], _NTH[k], out=bits[end - n : end])
+        t = clock(mixed(bits))
+        t *= self.lat.mean.take(e)
+        low, second, nth = t[: len(node)].copy(), np.full(len(node), np.inf), np.zeros(len(node), off.dtype)
+        for k, (n, end) in enumerate(zip(has.tolist(), ends, strict=True)):
+            if k:
+                x, least = t[end - n : end], low[:n]
+                np.putmask(nth[:n], x < least, k)
+                np.minimum(second[:n], np.maximum(x, least), out=second[:n])
+                np.minimum(least, x, out=least)
+        with np.errstate(divide="ignore"):
+            return off + nth, np.log(second - low), o
 
     def walk(self, w: np.ndarray, cur: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Visits of each word, and for each visit, in order, its node, the edge taken and the logarithm of its lead.
@@ -395,24 +452,21 @@ class Sampler:
         A word that ends makes room for the next one, so that each step is taken by as many words.
         """
         steps, seen, given = np.zeros(len(w), np.int32), [], 0
+        doc, root, last = self.doc_of[w], self.root[w], self.last[w]
+        base = salt[doc] + (w - self.start[doc]).astype(np.uint64) * _GOLD
         place = node = np.zeros(0, np.int64)
         while len(place) or given < len(w):
             more = min(len(w) - given, WALKED_AT_ONCE - len(place))
             if more > WALKED_AT_ONCE // 8 or not len(place):
                 place, node = np.append(place, np.arange(given, given + more)), np.append(node, cur[given : given + more])
                 given += more
-            e, count, first, t = self.times(w[place], node, salt)
-            low = np.minimum.reduceat(t, first)
-            hit = np.flatnonzero(t == np.repeat(low, count))
-            best = hit if len(hit) == len(place) else hit[np.searchsorted(hit, first)]
-            taken = e[best]
-            t[best] = np.inf
-            with np.errstate(divide="ignore"):
-                seen.append((place.astype(np.int32), steps[place], node.astype(np.int32), taken.astype(np.int32), np.log(np.minimum.reduceat(t, first) - low)))
+            taken, lead, o = self.won(node, mixed(base.take(place) + (node - root.take(place)).astype(np.uint64)))
+            place, node = place.take(o), node.take(o)
+            seen.append((place.astype(np.int32), steps.take(place), node.astype(np.int32), taken.astype(np.int32), lead))
             steps[place] += 1
             node = self.after(node, taken)
-            go = np.flatnonzero(node < self.last[w[place]])
-            place, node = place[go], node[go]
+            go = np.flatnonzero(node < last.take(place))
+            place, node = place.take(go), node.take(go)
         begin = np.cumsum(steps, dtype=np.int64) - steps
         out = [np.empty(int(steps.sum()), k) for k in (np.int64, np.int64, np.float64)]
         for place, nth, *found in seen:

@@ -216,6 +216,27 @@ def test_pieces_query_returns_all_ids(spark, tmp_path):
     assert len(out[4].samples) == 2 and out[4].samples[0].ids != out[4].samples[1].ids
 
 
+def test_steps_of_many_words_take_the_least_clocks():
+    """A step's edges and leads are those of clocks sorted node by node; prefixes are found by slot as in a plain table."""
+    v = pieces.Vocabulary(tokenizers.path("piece_bpe_32k.model"), 1.0)
+    r = random.Random(9)
+    words = sorted({"▁" + "".join(r.choices("abcdeinorst", k=r.randint(1, 9))) for _ in range(300)} | {"▁", "!", "▁日本", "▁the"})
+    own = v.known.numbers(words, v)
+    keys = np.array([3], np.uint64)
+    some = pieces.Sampler(v.known, own, np.array([0, len(own)]), keys, 2, v.chars)
+    salt, w, node = pieces.mixed(keys), np.arange(len(own)), some.root
+    e, count, first, t = some.times(w, node, salt)
+    taken, lead, o = some.won(node, pieces.mixed(salt[0] + w.astype(np.uint64) * pieces._GOLD))
+    assert sorted(o.tolist()) == w.tolist() and count.max() > 3 > 1 == count.min()
+    for i, edge, ahead in zip(o.tolist(), taken.tolist(), lead.tolist(), strict=True):
+        x = np.sort(t[first[i] : first[i] + count[i]])
+        assert edge == e[first[i] + t[first[i] : first[i] + count[i]].argmin()]
+        assert ahead == (np.log(x[1] - x[0]) if len(x) > 1 else np.inf)
+    known = dict(zip(v.hash.tolist(), v.piece.tolist(), strict=True))
+    asked = np.concatenate([v.hash, v.hash + np.uint64(1), pieces.mixed(np.arange(1, 5000, dtype=np.uint64)), np.zeros(1, np.uint64)])
+    assert v.deepest > 1 and v.find(asked).tolist() == [known.get(h, -2) for h in asked.tolist()]
+
+
 def test_most_used_words_are_copied_in_parts(monkeypatch):
     """What is kept of a worker's words doesn't depend on how many are copied at once."""
     v = pieces.Vocabulary(tokenizers.path("piece_bpe_32k.model"), 1.0)
