@@ -39,7 +39,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document and of two sampled segmentations."""
     import public_tokenizers
 
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), room=pieces.LITTLE)
 
 
 STAGES = [

@@ -45,7 +45,7 @@ _EDGE = re.compile(r"^\W+|\W+$")
 LEAST_DOCUMENTS = 3
 
 #: Words whose buckets a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
 _buckets: dict[str, tuple[int, ...]] = {}
 common.remembers("mixing", _buckets.clear)
 

@@ -54,6 +54,19 @@ BATCH_IDS = 500_000
 MOST_BYTES = 96 << 20
 #: Words that are copied at once where the most used are kept.
 KEPT_AT_ONCE = 4_000
+
+
+@dataclass(frozen=True)
+class Room:
+    """What a worker holds at once: characters of a chunk of whole texts, bytes of the lattices kept between chunks, ids of a batch of results, about."""
+
+    chars: int
+    lattices: int
+    ids: int
+
+
+#: Less memory at the price of time, for a stage whose executors other stages have filled before.
+LITTLE = Room(100_000, 24 << 20, 100_000)
 _WORD = re.compile("▁*[^▁]+|▁+")
 #: Bytes of a piece that are compared by eights.
 _WIDE = 24
@@ -566,16 +579,17 @@ def ids_of(edges: np.ndarray, lat: Lattices | Known, v: Vocabulary) -> np.ndarra
 Sample = tuple[np.ndarray, float, float, float]
 
 
-def segmentations(texts: list[str], keys: list[int | None], v: Vocabulary, k: int, seed: int) -> Iterator[tuple[np.ndarray, list[Sample]]]:
+def segmentations(texts: list[str], keys: list[int | None], v: Vocabulary, k: int, seed: int, room: Room | None = None) -> Iterator[tuple[np.ndarray, list[Sample]]]:
     """For each text the model's own ids, and its samples."""
+    room = room or Room(CHARS_AT_ONCE, MOST_BYTES, BATCH_IDS)
     at = 0
     while at < len(texts):
         plain, size, begun = [], 0, at
-        while at < len(texts) and (not plain or size < CHARS_AT_ONCE):
+        while at < len(texts) and (not plain or size < room.chars):
             plain.append(v.model.normalize(texts[at]))
             size += len(plain[-1])
             at += 1
-        if v.known.bytes() > MOST_BYTES:
+        if v.known.bytes() > room.lattices:
             v.known = v.known.often_used(0.4)
         lat = v.known
         words, which, start = v.words(plain)
@@ -620,14 +634,16 @@ def _columns(found: list[tuple[np.ndarray, bool, list[Sample]]], with_ids: bool)
     return [*out, _lists(own)] if with_ids else out
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", k: int = 2, alpha: float = 1.0, seed: int = 23, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, key: str = "doc_id", k: int = 2, alpha: float = 1.0, seed: int = 23, with_ids: bool = True, room: Room | None = None) -> DataFrame:
     """Ids of every whole text, whether they decode to it, and k sampled segmentations.
 
     Returns `key`, n_pieces, ids_crc32, decodes, samples (rank from 1, n_pieces, ids_crc32, logp,
     perturbed, inclusion and, `with_ids`, ids), and `with_ids` also ids. decodes is true if the ids
-    and each sample decode to the normalised text.
+    and each sample decode to the normalised text. `room` bounds the memory of a worker process;
+    ids, samples and values don't depend on it, but for the last digits of sums.
     """
     common.prepare(docs.sparkSession)
+    ids_at_once = room.ids if room else BATCH_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, alpha)
@@ -636,11 +652,11 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", k: int = 2, alpha:
             texts, keys = [t.as_py() or "" for t in batch.column("text")], batch.column("key")
             held, at, size = [], 0, 0
             with common.uncollected():
-                for text, (ids, samples) in zip(texts, segmentations(texts, keys.to_pylist(), v, k, seed), strict=True):
+                for text, (ids, samples) in zip(texts, segmentations(texts, keys.to_pylist(), v, k, seed, room), strict=True):
                     plain = v.model.normalize(text).encode("utf-8", "surrogatepass")
                     held.append((ids, v.spell([ids, *(m[0] for m in samples)], plain), samples))
                     size += len(ids) * (k + 1)
-                    if size >= BATCH_IDS or at + len(held) == len(texts):
+                    if size >= ids_at_once or at + len(held) == len(texts):
                         yield pa.RecordBatch.from_arrays([keys.slice(at, len(held)), *_columns(held, with_ids)], names=names)
                         held, at, size = [], at + len(held), 0
 

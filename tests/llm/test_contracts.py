@@ -202,6 +202,31 @@ def test_word_cache_changes_nothing(monkeypatch):
         assert np.allclose([s[1:] for s in x], [s[1:] for s in y])
 
 
+def test_last_stage_of_the_pipeline_holds_little(monkeypatch):
+    """A worker of the pipeline's last stage holds few lattices and walks little text at once, with the same ids and samples."""
+    import corpus_pipeline
+    import public_tokenizers
+
+    asked = {}
+    monkeypatch.setattr(pieces, "encode", lambda docs, model, **kw: asked.update(kw))
+    corpus_pipeline.token_ids(None, None, "")
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefghijklmnop ", k=20_000)) for _ in range(25)]
+
+    def made(*room):
+        v, crc = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0), []
+        tracemalloc.start()
+        for ids, found in pieces.segmentations(texts, list(range(len(texts))), v, 2, 23, *room):
+            crc.append([zlib.crc32(x.tobytes()) for x in (ids, *(s[0] for s in found))])
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return crc, most
+
+    want, wide = made()
+    got, most = made(*[x for k, x in asked.items() if k == "room"])
+    assert got == want and most < 0.5 * wide, (most, wide)
+
+
 def test_pieces_query_returns_all_ids(spark, tmp_path):
     """The registered query gives the ids themselves, of each text and of both samples, and they say the whole text."""
     model = pieces.vocabulary(tokenizers.path("piece_bpe_32k.model"), 1.0).model
