@@ -184,3 +184,20 @@ def uncollected() -> Iterator[None]:
 def keyed(df: DataFrame, name: str = "row_key") -> DataFrame:
     """Adds a key that tells even equal rows apart. Write the result before reading it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+#: Rows of a table of a number or two a row that is broadcast; a longer one is joined by a shuffle.
+MOST_BROADCAST = 400_000
+
+
+def among(rows: DataFrame, keys: DataFrame, name: str = "row_key") -> DataFrame:
+    """The rows whose key `name`, made by keyed(), is in the column of this name of `keys`, where it may repeat.
+
+    Keys of a task follow each other, so one number tells of 64 of them which are there: a table of these is
+    short enough to broadcast for 25 million rows, and rows with their texts aren't shuffled.
+    """
+    word = f"shiftright(`{name}`, 6)"
+    marks = written(keys.selectExpr(f"{word} as word", f"shiftleft(1L, cast(`{name}` & 63 as int)) as mark").groupBy("word").agg(F.bit_or("mark").alias("marks")), "marks")
+    few = marks.selectExpr("word as _word", "marks as _marks")
+    found = rows.join(F.broadcast(few) if marks.count() <= MOST_BROADCAST else few, F.expr(f"{word} = _word"))
+    return found.where(f"getbit(_marks, cast(`{name}` & 63 as int)) = 1").select(*[f"`{c}`" for c in rows.columns])

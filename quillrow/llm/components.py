@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import written
+from quillrow.llm.common import dropped, written
 
 
 def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,5 +57,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: each node and its smaller neighbours go to the smallest of these.
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = written(moved.unionByName(least.withColumnRenamed("m", "b")).distinct(), "links")
+        before, links = links, written(moved.unionByName(least.withColumnRenamed("m", "b")).distinct(), "links")
+        dropped(before, below, large, least)
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

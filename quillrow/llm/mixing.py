@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillrow.llm import common, language
 
@@ -134,8 +135,8 @@ def memberships(docs: DataFrame, model: Domains) -> DataFrame:
                 p.append(held.value.posterior(at))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=[*others, "n_tokens", "posterior"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.select(*others, "text").mapInArrow(common.served(run, "mixing"), f"{ddl}, n_tokens long, posterior array<double>")
+    schema = T.StructType([*[docs.schema[c] for c in others], T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
+    return docs.select(*others, "text").mapInArrow(common.served(run, "mixing"), schema)
 
 
 def _matrix(column: pa.Array, domains: int) -> np.ndarray:
@@ -230,7 +231,6 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, labels: DataFrame, multiples: dict[str, float]) -> DataFrame:
     """`docs`, each row as often as its copies say."""
-    rows = common.written(common.keyed(common.boxed(docs), "mix_key"), "rows")
-    rates = mix(rows.select("row.doc_id", "mix_key", "row.text"), labels, multiples=multiples)
-    copies = common.written(rates.where(F.col("n_copies") > 0).select("mix_key", "n_copies"), "copies")
-    return rows.join(copies, "mix_key").withColumn("copy", F.explode(F.expr("sequence(1L, n_copies)"))).select("row.*")
+    # Rows go with their posteriors: the numbers of copies needn't be joined with the texts.
+    rates = mix(common.boxed(docs).select("row", "row.doc_id", "row.text"), labels, multiples=multiples)
+    return rates.where(F.col("n_copies") > 0).withColumn("copy", F.explode(F.expr("sequence(1L, n_copies)"))).select("row.*")

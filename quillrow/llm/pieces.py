@@ -643,7 +643,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", k: int = 2, alpha:
     ids, samples and values don't depend on it, but for the last digits of sums.
     """
     common.prepare(docs.sparkSession)
-    ids_at_once = room.ids if room else BATCH_IDS
+    ids_at_once, own = (room.ids, [room]) if room else (BATCH_IDS, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, alpha)
@@ -652,7 +652,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", k: int = 2, alpha:
             texts, keys = [t.as_py() or "" for t in batch.column("text")], batch.column("key")
             held, at, size = [], 0, 0
             with common.uncollected():
-                for text, (ids, samples) in zip(texts, segmentations(texts, keys.to_pylist(), v, k, seed, room), strict=True):
+                for text, (ids, samples) in zip(texts, segmentations(texts, keys.to_pylist(), v, k, seed, *own), strict=True):
                     plain = v.model.normalize(text).encode("utf-8", "surrogatepass")
                     held.append((ids, v.spell([ids, *(m[0] for m in samples)], plain), samples))
                     size += len(ids) * (k + 1)

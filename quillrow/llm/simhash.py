@@ -38,8 +38,6 @@ from quillrow.llm.components import components, local_stars
 REFERENCES, SEED = 16, 64
 #: Fingerprints of a block of a long group, and the group length aimed at.
 BLOCK, AIM = 512, 64
-#: Rows of a table of numbers that is broadcast; a longer one is joined by a shuffle.
-MOST_BROADCAST = 400_000
 #: Rows compared at once.
 CHUNK = 1 << 15
 #: Shingles hashed at once, to bound memory on long texts.
@@ -352,8 +350,7 @@ def similar(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
 
     out = pairs.where("a <> b")
-    wanted = out.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
-    sets = rows.join(wanted, "row_key", "left_semi").mapInArrow(common.served(run, "simhash"), "key long, s array<long>")
+    sets = common.among(rows, out.select(F.explode(F.array("a", "b")).alias("row_key"))).mapInArrow(common.served(run, "simhash"), "key long, s array<long>")
     for c in "ab":
         out = out.join(sets.select(F.col("key").alias(c), F.col("s").alias(f"s{c}")), c)
     # i / (na + nb - i) >= p / q without division.
@@ -393,19 +390,22 @@ def deduplicated(docs: DataFrame, size: int = 5, within: int = 24, wide: int = 3
     links_ = common.written(similar(met, texts, size), "similar")
     crowded = met.where("a = b")
     if crowded.limit(1).count():
-        near = texts.join(crowded.select(F.col("a").alias("row_key")), "row_key", "left_semi").mapInArrow(common.served(sketched, "simhash"), "rep long, sketch binary")
+        near = common.among(texts, crowded.select(F.col("a").alias("row_key"))).mapInArrow(common.served(sketched, "simhash"), "rep long, sketch binary")
         left = common.written(nodes.join(near, "rep"), "left")
-        links_ = links_.unionByName(common.written(similar(links(left, within, wide).distinct(), texts, size), "similar"))
+        forest = common.written(links(left, within, wide).distinct(), "forest")
+        links_ = links_.unionByName(common.written(similar(forest, texts, size), "similar"))
         first = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
         rest = common.written(links(left.join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")), within, wide).distinct(), "rest")
         links_ = links_.unionByName(common.written(similar(rest, texts, size), "similar"))
+        common.dropped(left, forest, rest)
     reached = components(links_).withColumnRenamed("node", "rep").withColumnRenamed("component", "component_id")
     placed = known.join(reached, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("s")
     kept = common.written(sets.select("digest", "doc_id", "row_key").join(placed, "digest").groupBy("component_id").agg(least).select("s.row_key"), "first")
-    return held.join(_small(kept, kept.count()), "row_key", "left_semi").select("row.*")
+    common.dropped(sets, known, met)
+    return common.among(held, kept).select("row.*")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """A table of a number or two a row, broadcast only if it has few rows."""
-    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+    return F.broadcast(df) if rows <= common.MOST_BROADCAST else df

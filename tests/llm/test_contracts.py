@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillrow.llm import language, mixing, pieces, pii, queries, secrets, simhash, suffixes
+from quillrow.llm import common, language, mixing, pieces, pii, queries, secrets, simhash, suffixes
 
 tokenizers = pytest.importorskip("public_tokenizers")
 CLASHING = "doc_id long, text string, lang string, source string, row_key string, row string, score double, lang_pred string, n_copies long, mix_key long, uid string, key string"
@@ -40,6 +40,35 @@ def test_clashing_columns(spark):
         assert (x.doc_id, x.row_key, x.uid, x.row) == (want[x.doc_id][0], *(want[x.doc_id][i] for i in (4, 10, 5)))
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """However many rows are wanted or kept, no join of the pipeline deals texts out by their key."""
+    r = random.Random(4)
+    texts = [prose(r, 60) for _ in range(300)]
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:40])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "high") for i in range(20)], "doc_id long, domain string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not re.search("Exchange hash|Join", planned(mixing.mixed(own, labels, {"high": 1.2})))
+        assert "Exchange hash" not in planned(simhash.deduplicated(own))
+        rows = common.written(common.keyed(own), "rows")
+        key = rows.agg(F.min("row_key")).first()[0]
+        pairs = spark.createDataFrame([(key, key)], "a long, b long").where("a >= 0")
+        assert not re.search(r"Exchange hashpartitioning\(row_key", planned(simhash.similar(pairs, rows.select("row_key", "text"), 5)))
+        for most in (common.MOST_BROADCAST, 0):
+            monkeypatch.setattr(common, "MOST_BROADCAST", most)
+            wanted = rows.where("doc_id % 7 in (0, 3)").select("row_key")
+            got = common.among(rows, wanted.unionByName(wanted))
+            assert got.columns == rows.columns and sorted(x.doc_id for x in got.collect()) == [i for i in range(340) if i % 7 in (0, 3)]
+            assert common.among(rows, wanted.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_passages(spark):
     """Words of passages of over 50 words that repeat, against a plain count of all windows."""
     r = random.Random(5)
