@@ -43,6 +43,10 @@ from quillrow.llm import common
 
 #: Bytes of the windows of the sieve, tokens of a suffix, bytes worked on at once.
 GRAM, TOKENS, PIECE = 256, 2, 1 << 20
+#: Bytes of short texts that are sieved at once: few enough for a processor's own memory.
+AT_ONCE = 1 << 16
+#: Stretches of an Arrow batch, about.
+BATCH = 20_000
 #: Rows that are sorted at once.
 SHORT = 1 << 16
 #: Suffixes of a bucket, about.
@@ -67,8 +71,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    out = h >> np.uint64(32)
+    out ^= h
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
 
 
 class Hashes:
@@ -83,16 +90,33 @@ class Hashes:
         else:
             x, self.tail = part, 0
         power, self.inverse = _powers(len(x) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(x * _BASE + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+        x = x * _BASE
+        x += np.uint64(1)
+        x = _mixed(x)
+        x *= power[:-1]
+        self.sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of [start, end)."""
         return _mixed((self.sums[end - self.tail] - self.sums[start]) * self.inverse[start])
 
+    def windows(self, width: int) -> np.ndarray:
+        """Hashes of all windows of so many bytes or words."""
+        n, far = len(self.sums) - width, width - self.tail
+        out = self.sums[far : far + n] - self.sums[:n]
+        out *= self.inverse[:n]
+        return _mixed(out)
+
 
 def words_of(text: str) -> np.ndarray:
     """A hash of each word of a text."""
-    data, at, out = text.encode("utf-8", "surrogatepass"), 0, [np.zeros(0, np.uint64)]
+    return words_in(text.encode("utf-8", "surrogatepass"))[0]
+
+
+def words_in(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of some bytes, and where each starts."""
+    at, out, starts = 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     while at < len(data):
         cut = _SPACE.search(data, at + PIECE)
         end = cut.start() if cut else len(data)
@@ -101,19 +125,22 @@ def words_of(text: str) -> np.ndarray:
         solid[1:-1] = ~_BLANK[x]
         edge = np.flatnonzero(np.diff(solid))  # starts and ends in turn
         power, inverse = _powers(len(x) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[x] * power[:-1], dtype=np.uint64)])
+        sums, each = np.zeros(len(x) + 1, np.uint64), _BYTES[x]
+        each *= power[: len(x)]
+        np.cumsum(each, out=sums[1:])
         out.append(_mixed((sums[edge[1::2]] - sums[edge[::2]]) * inverse[edge[::2]]))
+        starts.append(edge[::2] + at)
         at = end
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(starts)
 
 
-def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each window of so many numbers, by running minima of blocks from both sides."""
+def least_in_windows(x: np.ndarray, width: int, least: np.ufunc = np.minimum) -> np.ndarray:
+    """The minimum (or maximum) of each window of so many numbers, by running minima of blocks from both sides."""
     n = len(x) - width + 1
-    padded = np.concatenate([x, np.full(-len(x) % width, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    left = np.minimum.accumulate(padded, axis=1).reshape(-1)
-    right = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
+    padded = np.concatenate([x, np.full(-len(x) % width, np.iinfo(np.uint64).max if least is np.minimum else 0, np.uint64)]).reshape(-1, width)
+    left = least.accumulate(padded, axis=1).reshape(-1)
+    right = least.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return least(right[:n], left[width - 1 : width - 1 + n])
 
 
 def pieces(data: bytes | np.ndarray, span: int) -> Iterator[tuple[int, bytes | np.ndarray]]:
@@ -151,39 +178,47 @@ def stretches_of(seq: bytes | np.ndarray, owner: np.ndarray, span: int, gram: in
     if len(seq) < span:
         return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, bool, np.int64))
     h = Hashes(seq)
-    at = np.arange(len(seq) - gram + 1)
-    grams = h.of(at, at + gram)
+    grams = h.windows(gram)
     least = least_in_windows(grams, width)
     # Suffixes whose first `span` bytes lie in one text.
-    own = np.flatnonzero(owner[: len(least)] == owner[span - 1 :])
-    new = np.ones(len(own), bool)
-    new[1:] = (np.diff(own) != 1) | (least[own[1:]] != least[own[:-1]]) | (owner[own[1:]] != owner[own[:-1]])
-    begin = np.flatnonzero(new)
-    first, last = own[begin], own[np.append(begin[1:] - 1, len(own) - 1)] if len(own) else own
-    size = last - first + width
-    which = np.repeat(np.arange(len(first)), size)
-    place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size - first, size)
-    twice = np.bincount(which[grams[place] == np.repeat(least[first], size)], minlength=len(first)) > 1
-    text = owner[first]
-    return least[first], _mixed(h.of(first, last + span) + (last - first).astype(np.uint64)), first - np.searchsorted(owner, text), last - first + 1, twice, text
+    own = owner[: len(least)] == owner[span - 1 :]
+    cut = (least[1:] != least[:-1]) | ~own[1:] | ~own[:-1]
+    first = np.flatnonzero(own & np.concatenate([[True], cut]))
+    last = np.flatnonzero(own & np.concatenate([cut, [True]]))
+    # A window is the least of some suffix if its hash is the greatest of the suffixes' that hold it, as none is greater.
+    none = np.zeros(width - 1, np.uint64)
+    place = np.flatnonzero(least_in_windows(np.concatenate([none, least, none]), width, np.maximum) == grams)
+    times, stretch = np.zeros(len(first), np.int64), np.searchsorted(first, place, "right") - 1
+    # It is counted in the one stretch of its hash that it lies in; those that hold it follow each other.
+    while len(place):
+        held = np.flatnonzero((stretch >= 0) & (last[stretch] + width > place)) if len(first) else place[:0]
+        place, stretch = place[held], stretch[held]
+        same = least[first[stretch]] == grams[place]
+        times += np.bincount(stretch[same], minlength=len(first))
+        place, stretch = place[~same], stretch[~same] - 1
+    text = owner[first].astype(np.int64)
+    begin = np.searchsorted(owner, text.astype(owner.dtype))
+    return least[first], _mixed(h.of(first, last + span) + (last - first).astype(np.uint64)), first - begin, last - first + 1, times > 1, text
 
 
 def sequences(texts: list[str], words: bool, most: int) -> Iterator[tuple[list[int], bytes | np.ndarray, np.ndarray]]:
-    """Texts of up to `most` bytes after each other: (their places, their bytes or words, the text of each of these)."""
+    """Texts of up to `most` bytes each, some after each other: (their places, their bytes or words, the text of each of these)."""
     held: list[int] = []
     data: list[bytes] = []
     size = 0
 
     def joined() -> tuple[list[int], bytes | np.ndarray, np.ndarray]:
-        own = words_of("\n".join(x.decode("utf-8", "surrogatepass") for x in data)) if words else b"".join(data)
-        count = [len(x.split()) if words else len(x) for x in data]
-        return held, own, np.repeat(np.arange(len(data)), count)
+        size = np.array([len(x) for x in data])
+        if not words:
+            return held, b"".join(data), np.repeat(np.arange(len(data), dtype=np.int32), size)
+        own, start = words_in(b"\n".join(data))
+        return held, own, (np.searchsorted(np.cumsum(size + 1), start, "right")).astype(np.int32)
 
     for i, t in enumerate(texts):
         b = t.encode("utf-8", "surrogatepass")
         if len(b) > most:
             continue
-        if size + len(b) > PIECE and held:
+        if size + len(b) > AT_ONCE and held:
             yield joined()
             held, data, size = [], [], 0
         held.append(i)
@@ -246,20 +281,38 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, words: bool = Fa
     texts = _text(docs.select("text"))
     found = pa.schema([("least", pa.int64()), ("whole", pa.int64()), ("uid", pa.binary()), ("first", pa.int64()), ("n", pa.int64()), ("twice", pa.bool_())])
 
+    def sieved(column: pa.Array) -> Iterator[list[tuple[np.ndarray, ...]]]:
+        held, rows, own = [], 0, column.to_pylist()
+        for places, seq, owner in sequences(own, words, PIECE):
+            *made, text = stretches_of(seq, owner, span, gram)
+            held.append((*made, np.array(places)[text]))
+            rows += len(text)
+            if rows >= BATCH:
+                yield held
+                held, rows = [], 0
+        if held:
+            yield held
+        for i, t in enumerate(own):
+            if len(t) > PIECE // 4 and len(data := t.encode("utf-8", "surrogatepass")) > PIECE:
+                for made in stretches(read(t) if words else data, span, gram):
+                    yield [(*made, np.full(len(made[0]), i))]
+
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, uids = batch.column("text").to_pylist(), batch.column("uid")
-            for places, seq, owner in sequences(texts, words, PIECE):
-                least, whole, first, n, twice, text = stretches_of(seq, owner, span, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), uids.take(pa.array(np.array(places)[text])), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(twice)], schema=found)
-            for i, t in enumerate(texts):
-                if len(t) > PIECE // 4 and len(data := t.encode("utf-8", "surrogatepass")) > PIECE:
-                    for least, whole, first, n, twice in stretches(read(t) if words else data, span, gram):
-                        yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([uids[i].as_py()] * len(first), pa.binary()), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(twice)], schema=found)
-
-    # Computed twice rather than stored: the sieve is cheap, its table is not.
+            for held in sieved(batch.column("text")):
+                least, whole, first, n, twice, text = (np.concatenate(c) for c in zip(*held, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("uid").take(pa.array(text)), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(twice)], schema=found)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held in sieved(batch.column("text")):
+                least, *_, twice, _ = (np.concatenate(c) for c in zip(*held, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(twice)], names=["least", "twice"])
+
+    # Computed twice rather than stored, the first time without what only the second needs: the sieve is cheap, its table is not.
     each = texts.mapInArrow(sieve, "least long, whole long, uid binary, first long, n long, twice boolean")
-    live = common.written(each.groupBy("least").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("least"), "live")
+    lean = texts.select("text").mapInArrow(hashed, "least long, twice boolean")
+    live = common.written(lean.groupBy("least").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("least"), "live")
     some = common.written(each.join(live, "least"), "some")
     common.dropped(live)
     twins = common.written(some.groupBy("least", "whole").agg(F.count("*").alias("c"), F.max("twice").alias("t"), F.min(F.struct("uid", "first", "n")).alias("s")), "twins")

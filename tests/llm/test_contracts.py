@@ -69,6 +69,30 @@ def test_texts_are_not_shuffled(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_sieve_at_once(monkeypatch):
+    """Short texts together have the stretches of each alone, told without a place for each window of each stretch."""
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab ") for _ in range(r.randrange(300))) for _ in range(60)] + ["ab" * 200, "a" * 300, "", "é b" * 50, prose(r, 300)]
+    for words, span, gram in ((False, 40, 24), (False, 12, 8), (True, 9, 3), (True, 5, 5)):
+        for at_once in (1, 200, 1 << 16):
+            monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
+            got = {i: [] for i in range(len(texts))}
+            for places, seq, owner in suffixes.sequences(texts, words, suffixes.PIECE):
+                *made, text = suffixes.stretches_of(seq, owner, span, gram)
+                for i, *x in zip(text.tolist(), *(c.tolist() for c in made), strict=True):
+                    got[places[i]].append(tuple(x))
+            for i, t in enumerate(texts):
+                alone = suffixes.stretches(suffixes.words_of(t) if words else t.encode(), span, gram)
+                assert got[i] == [tuple(x) for made in alone for x in zip(*(c.tolist() for c in made), strict=True)]
+    monkeypatch.undo()
+    tracemalloc.start()
+    for _, seq, owner in suffixes.sequences([prose(r, 150) for _ in range(1000)], False, suffixes.PIECE):
+        suffixes.stretches_of(seq, owner, 400, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
 def test_passages(spark):
     """Words of passages of over 50 words that repeat, against a plain count of all windows."""
     r = random.Random(5)
