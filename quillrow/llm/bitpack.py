@@ -132,6 +132,13 @@ class Reader:
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 LATIN = "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
 END = "</w>"
+#: The sorts of Latin-1 characters in lower case: white space, letters, digits (each a word of its own) and others.
+_SORT = np.full(256, 3, np.uint8)
+_SORT[[b for b in range(256) if re.match(r"\s", chr(b))]] = 0
+_SORT[[b for b in range(256) if re.match("[a-zªµºß-öø-ÿ]", chr(b))]] = 1
+_SORT[[b for b in range(256) if re.match("[0-9²³¹¼½¾]", chr(b))]] = 2
+#: Characters of a chunk of whole texts whose words are told at once.
+CHARS_AT_ONCE = 1 << 20
 
 
 class Encoder:
@@ -155,7 +162,7 @@ class Encoder:
         norm = {x["type"] for x in (made.get("normalizer") or {}).get("normalizers") or []}
         self.by_word = norm == {"NFC", "Lowercase", "Replace"} and split.get("behavior") == "Removed" and split.get("invert") is True and split.get("pattern") == {"Regex": SPLIT} and made["model"].get("end_of_word_suffix") == END
         self.marks = [x["content"] for x in made.get("added_tokens", [])]
-        self.odd = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]|[^\x00-\xff]")
+        self.odd = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]")
         self.words_of = re.compile(LATIN).findall
         self.ends = np.zeros(self.vocabulary, bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(END)]] = True
@@ -166,37 +173,79 @@ class Encoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Ids of words, as bytes."""
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            lines = b"\n".join(some).decode("latin-1")
+            ids = np.array(self.tokenizer.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
                 data, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
                 self.new.update(zip(some, [data[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], strict=True))
             else:
-                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                for w, e in zip(some, self.tokenizer.encode_batch_fast(lines.split("\n"), add_special_tokens=False), strict=True):
                     self.new[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
-        whole = {i for i, t in enumerate(texts) if not self.by_word or self.odd.search(t) or any(m in t for m in self.marks)}
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            if not self.by_word or self.odd.search(t) or any(m in t for m in self.marks):
+                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+                continue
+            low = t.lower()
+            if "'" in low:
+                # An apostrophe may begin a word with the letters behind it: the expression tells, and others get white space between.
+                low = " ".join(self.words_of(low))
+            held.append((i, low))
+            size += len(low)
+            if size >= CHARS_AT_ONCE:
+                self._encode_words(held, out)
+                held, size = [], 0
+        if held:
+            self._encode_words(held, out)
+        return out
+
+    def _encode_words(self, held: list[tuple[int, str]], out: list[np.ndarray]) -> None:
+        """Puts the ids of some texts of Latin-1 characters at their places."""
+        each = [low.encode("latin-1") for _, low in held]
+        data = b" ".join(each)
+        x = np.frombuffer(data, np.uint8)
+        sort = _SORT[x]
+        new = np.ones(len(x), bool)
+        new[1:] = ((sort[1:] != sort[:-1]) & ((x[:-1] != 39) | (sort[1:] != 1))) | (sort[1:] == 2)
+        solid = sort != 0
+        new &= solid
+        at = np.append(np.flatnonzero(new[solid]), np.count_nonzero(solid)).astype(np.int32)
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(x[solid])]).dictionary_encode()
+        ids = self.ids_of(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which = found.indices.to_numpy()
+        flat, n = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        off, count = np.cumsum(n, dtype=np.int32) - n, n[which]
+        end = np.cumsum(count, dtype=np.int64)
+        place = np.arange(int(end[-1]) if len(end) else 0)
+        place += np.repeat(off[which] - (end - count), count)
+        flat = flat[place]
+        # Words that start before the end of each text, and their ids.
+        words = np.searchsorted(np.flatnonzero(new), np.cumsum([len(b) + 1 for b in each]))
+        ends = np.append(0, end)[words].tolist()
+        for (i, _), a, b in zip(held, [0, *ends[:-1]], ends, strict=True):
+            out[i] = flat[a:b]
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words in Latin-1, as bytes; new ones are learned."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        words = [None if i in whole else self.words_of(t.lower()) for i, t in enumerate(texts)]
-        found = [None if w is None else list(map(self.new.get, w)) for w in words]
-        missing = {w for own, got in zip(words, found, strict=True) if got and None in got for w, g in zip(own, got, strict=True) if g is None}
-        known = {w: self.old[w] for w in missing if w in self.old}
-        self.new.update(known)
-        self.learn([w for w in missing if w not in known])
-        for i, got in enumerate(found):
-            if got is not None:
-                out[i] = np.frombuffer(b"".join(map(self.new.__getitem__, words[i]) if None in got else got), "<u4")
-        return out
+        got = list(map(self.new.get, words))
+        if None in got:
+            missing = [w for w, g in zip(words, got, strict=True) if g is None]
+            known = {w: self.old[w] for w in missing if w in self.old}
+            self.new.update(known)
+            self.learn([w for w in missing if w not in known])
+            got = list(map(self.new.__getitem__, words))
+        return got
 
 
 @lru_cache(maxsize=2)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillrow.llm import common, language, mixing, pieces, pii, queries, secrets, simhash, suffixes
+from quillrow.llm import bitpack, common, language, mixing, pieces, pii, queries, secrets, simhash, suffixes
 
 tokenizers = pytest.importorskip("public_tokenizers")
 CLASHING = "doc_id long, text string, lang string, source string, row_key string, row string, score double, lang_pred string, n_copies long, mix_key long, uid string, key string"
@@ -69,6 +69,24 @@ def test_texts_are_not_shuffled(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_words_encoded_together(monkeypatch):
+    """Ids of texts of all kinds are the tokenizer's own, and a word that many texts hold is looked up once."""
+    known = bitpack.Encoder(tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(6)
+    odd = ["can't've 'story ''s --'re we'll o'd'm '", "Größe ÀÉÎ ÿ µm ª1º 2²3½ a1b2 --x!!y", "tab\tline\nend\r x", "a\x85b c\xa0d", "日本 x", "", " ", "'", "x" * 3000, "<|endoftext|> a", "A\x1cB \x0b c"]
+    texts = odd + ["".join(r.choice("ab'st 1é.ÉD\n") for _ in range(r.randrange(60))) for _ in range(300)]
+    want = [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for at_once in (1, 500, 1 << 20):
+        monkeypatch.setattr(bitpack, "CHARS_AT_ONCE", at_once)
+        assert [x.tolist() for x in known.encode(texts)] == want
+    known.most = 20
+    assert [x.tolist() for x in known.encode(texts)] == want
+    asked = []
+    known.ids_of = lambda words, real=known.ids_of: asked.extend(words) or real(words)
+    known.encode(["river stone river"] * 500)
+    assert sorted(asked) == [b"river", b"stone"]
+
+
 def test_sieve_at_once(monkeypatch):
     """Short texts together have the stretches of each alone, told without a place for each window of each stretch."""
     r = random.Random(11)
