@@ -51,7 +51,7 @@ CHARS_AT_ONCE, WALKED_AT_ONCE = 500_000, 16_000
 #: Ids of an Arrow batch of results, about.
 BATCH_IDS = 500_000
 #: Bytes of the lattices that a worker keeps between chunks.
-MOST_BYTES = 96 << 20
+MOST_BYTES = 240 << 20
 #: Words that are copied at once where the most used are kept.
 KEPT_AT_ONCE = 4_000
 
@@ -68,8 +68,6 @@ class Room:
 #: Less memory at the price of time, for a stage whose executors other stages have filled before.
 LITTLE = Room(100_000, 24 << 20, 100_000)
 _WORD = re.compile("▁*[^▁]+|▁+")
-#: Bytes of a piece that are compared by eights.
-_WIDE = 24
 #: Marks that make words of their own in a text where no piece can run from one of them into another character.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~\n"
 _SORT = np.zeros(256, np.uint8)
@@ -155,11 +153,9 @@ class Vocabulary:
         byte = {i: bytes([b]) for b, i in self.byte.items()}
         self.chars = np.array([1 if i in byte else len(m.id_to_piece(i)) for i in range(n)], np.int64)
         self.says = [byte.get(i) or (b" \xe2\x81\x87 " if i == self.unknown else b"" if m.is_control(i) else m.id_to_piece(i).encode()) for i in range(n)]
-        # The same as numbers of 8 bytes, for all pieces that aren't very long.
-        size = np.array([len(x) for x in self.says])
-        self.size = size
-        self.eights = np.frombuffer(b"".join(x[:_WIDE].ljust(_WIDE, b"\0") for x in self.says), "<u8").reshape(n, -1).T.copy()
-        self.masks = np.frombuffer(b"".join((b"\xff" * min(len(x), _WIDE)).ljust(_WIDE, b"\0") for x in self.says), "<u8").reshape(n, -1).T.copy()
+        self.said = pa.array(self.says, pa.large_binary())
+        # Of the texts of the present chunk, their normalised bytes.
+        self.plain: dict[str, bytes] = {}
 
     def slot(self, h: np.ndarray) -> np.ndarray:
         """The slots of hashes."""
@@ -182,36 +178,27 @@ class Vocabulary:
             left = left[~hit]
         return out
 
+    def normal(self, text: str) -> bytes:
+        """A text as the model normalises it."""
+        got = self.plain.get(text)
+        return self.model.normalize(text).encode("utf-8", "surrogatepass") if got is None else got
+
     def spell(self, each: list[np.ndarray], said: bytes) -> bool:
-        """Whether each of some ids decodes to a normalised text: piece by piece, byte for byte."""
-        ids, count = np.concatenate(each).astype(np.intp), np.array([len(x) for x in each])
-        size = self.size.take(ids)
-        if not said or not count.all() or size.max() > _WIDE:
-            return all(b"".join(map(self.says.__getitem__, x.tolist())) == said for x in each)
-        end = np.cumsum(size)
-        if (end[np.cumsum(count) - 1] != np.arange(1, len(each) + 1) * len(said)).any():
+        """Whether each of some ids decodes to a normalised text: what they say, one after the other, is the text as often."""
+        count = [len(x) for x in each]
+        _, at, data = self.said.take(pa.array(np.concatenate(each).astype(np.int64))).buffers()
+        at = np.frombuffer(at, np.int64, sum(count) + 1)
+        if (at[np.cumsum(count)] != np.arange(1, len(each) + 1) * len(said)).any():
             return False
-        at = end - size - np.repeat(np.arange(len(each)) * len(said), count)
-        # Eight bytes from each byte of the text.
-        eight = np.frombuffer(said + bytes(_WIDE + 7), np.uint8).astype(np.uint64)
-        for k in (1, 2, 4):
-            eight = eight[:-k] | eight[k:] << np.uint64(8 * k)
-        for k in range(_WIDE // 8):
-            if k:
-                own = np.flatnonzero(size > 8 * k)
-                ids, at, size = ids[own], at[own] + 8, size[own]
-            if ((eight.take(at) ^ self.eights[k].take(ids)) & self.masks[k].take(ids)).any():
-                return False
-        return True
+        return not said or data.slice(0, len(said) * len(each)).equals(pa.py_buffer(said * len(each)))
 
-    def words(self, plain: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct words of normalised texts, the words as places in these, and where each text's start.
+    def words(self, plain: list[str], each: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words of normalised texts and their bytes, the words as places in these, and where each text's start.
 
         No piece runs from one word into the next. A word is a run of spaces and what follows them up
         to the next; in texts where no piece can cross from a mark into another character or back,
         runs of marks are words of their own.
         """
-        each = [t.encode("utf-8", "surrogatepass") for t in plain]
         data = b"".join(each)
         ends = np.cumsum([len(x) for x in each])
         x = np.frombuffer(data, np.uint8)
@@ -302,27 +289,33 @@ class Lattices:
         w = np.where(one, v.rare, v.logw[np.where(many, 0, self.piece)])
         if many.any():
             w[many] = [v.rare * len(v.bytes_of(-1 - int(p))) for p in self.piece[many]]
-        # Backward sums, nodes nearest to their word's end first.
+        # Backward sums, nodes nearest to their word's end first, each distance's edges as a run.
         beta = np.zeros(len(code) + 1)
-        o = np.argsort(left.astype(np.int16) if size.max(initial=0) < 1 << 15 else left, kind="stable")
-        for nodes in np.split(o, np.flatnonzero(np.diff(left[o])) + 1) if len(o) else []:
-            e, owner, start = ragged(self.off.take(nodes), self.count.take(nodes))
-            x = w.take(e) + beta.take(self.to.take(e))  # the last of beta, at -1, stays zero
-            top = np.maximum.reduceat(x, start)
-            beta[nodes] = top + np.log(np.add.reduceat(np.exp(x - top.take(owner)), start))
+        short = left.astype(np.int16) if size.max(initial=0) < 1 << 15 else left
+        nodes = np.argsort(short, kind="stable")
+        o = np.argsort(short.take(src), kind="stable")
+        some, to, each = w.take(o), self.to.take(o), self.count.take(nodes)
+        begin = np.cumsum(each) - each
+        cut = np.append(np.flatnonzero(np.diff(left.take(nodes), prepend=-1)), len(nodes)).tolist()
+        for a, b in zip(cut, cut[1:], strict=False):
+            at, end = begin[a], begin[b - 1] + each[b - 1]
+            x = some[at:end] + beta.take(to[at:end])  # the last of beta, at -1, stays zero
+            top = np.maximum.reduceat(x, begin[a:b] - at)
+            x -= np.repeat(top, each[a:b])
+            beta[nodes[a:b]] = top + np.log(np.add.reduceat(np.exp(x, out=x), begin[a:b] - at))
         self.cond = w + beta.take(self.to) - beta.take(src)
 
 
 class Growing:
-    """An array that grows at its end, with room to spare."""
+    """An array that grows at its end, with room to spare; what isn't filled yet takes no memory."""
 
-    def __init__(self, kind: type) -> None:
-        self.data, self.size = np.zeros(1024, kind), 0
+    def __init__(self, kind: type, room: int = 1024) -> None:
+        self.data, self.size = np.empty(room, kind), 0
 
     def extend(self, more: np.ndarray) -> None:
         need = self.size + len(more)
         if need > len(self.data):
-            room = np.zeros(max(need, len(self.data) * 5 // 4), self.data.dtype)
+            room = np.empty(max(need, len(self.data) * 5 // 4), self.data.dtype)
             room[: self.size] = self.data[: self.size]
             self.data = room
         self.data[self.size : need] = more
@@ -342,16 +335,17 @@ class Known:
 
     KINDS = {"first": np.int32, "size": np.int32, "ids_off": np.int32, "ids_count": np.int32, "uses": np.int32, "off": np.int32, "count": np.int32, "piece": np.int32, "mean": np.float64, "ids": np.uint32}
 
-    def __init__(self) -> None:
+    def __init__(self, like: Known | None = None) -> None:
+        """None yet, with room for as many as `like` has."""
         self.words: dict[str, int] = {}
-        self.parts = {k: Growing(t) for k, t in self.KINDS.items()}
+        self.parts = {k: Growing(t, *([len(like.parts[k].data)] if like else [])) for k, t in self.KINDS.items()}
 
     def __getattr__(self, name: str) -> np.ndarray:
         return self.parts[name].used
 
     def bytes(self) -> int:
         """Bytes held, with about 200 for the text and the number of each word."""
-        return sum(p.data.nbytes for p in self.parts.values()) + 200 * len(self.words)
+        return sum(p.used.nbytes for p in self.parts.values()) + 200 * len(self.words)
 
     def numbers(self, words: list[str], v: Vocabulary) -> np.ndarray:
         """Numbers of distinct words; new ones are built together."""
@@ -383,7 +377,7 @@ class Known:
         edges = np.add.reduceat(self.count, self.first) if len(self.words) else np.zeros(0, np.int64)
         most = np.argsort(-self.uses, kind="stable")
         kept = most[np.cumsum(edges[most]) <= share * self.parts["piece"].size]
-        out, p = Known(), self.parts
+        out, p = Known(self), self.parts
         texts = list(self.words)
         out.words = {texts[i]: n for n, i in enumerate(kept.tolist())}
         # A part at a time, as the places of all edges would take more room than the edges.
@@ -459,31 +453,33 @@ class Sampler:
         with np.errstate(divide="ignore"):
             return off + nth, np.log(second - low), o
 
-    def walk(self, w: np.ndarray, cur: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Visits of each word, and for each visit, in order, its node, the edge taken and the logarithm of its lead.
+    def walk(self, w: np.ndarray, cur: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Visits of each word, and for each visit, in order, the edge taken and the logarithm of its lead.
 
         A word that ends makes room for the next one, so that each step is taken by as many words.
         """
         steps, seen, given = np.zeros(len(w), np.int32), [], 0
-        doc, root, last = self.doc_of[w], self.root[w], self.last[w]
-        base = salt[doc] + (w - self.start[doc]).astype(np.uint64) * _GOLD
+        doc, last = self.doc_of[w], self.last[w]
+        base = salt[doc] + (w - self.start[doc]).astype(np.uint64) * _GOLD - self.root[w].view(np.uint64)
         place = node = np.zeros(0, np.int64)
+        nth = np.zeros(0, np.int32)
         while len(place) or given < len(w):
             more = min(len(w) - given, WALKED_AT_ONCE - len(place))
             if more > WALKED_AT_ONCE // 8 or not len(place):
-                place, node = np.append(place, np.arange(given, given + more)), np.append(node, cur[given : given + more])
+                place, node, nth = np.append(place, np.arange(given, given + more)), np.append(node, cur[given : given + more]), np.append(nth, np.zeros(more, np.int32))
                 given += more
-            taken, lead, o = self.won(node, mixed(base.take(place) + (node - root.take(place)).astype(np.uint64)))
-            place, node = place.take(o), node.take(o)
-            seen.append((place.astype(np.int32), steps.take(place), node.astype(np.int32), taken.astype(np.int32), lead))
-            steps[place] += 1
-            node = self.after(node, taken)
-            go = np.flatnonzero(node < last.take(place))
-            place, node = place.take(go), node.take(go)
+            taken, lead, o = self.won(node, mixed(base.take(place) + node.view(np.uint64)))
+            place, node, nth = place.take(o), node.take(o), nth.take(o)
+            seen.append((place.astype(np.int32), nth, taken.astype(np.int32, copy=False), lead))
+            node, nth = self.after(node, taken), nth + np.int32(1)
+            on = node < last.take(place)
+            go, done = np.flatnonzero(on), np.flatnonzero(~on)
+            steps[place.take(done)] = nth.take(done)
+            place, node, nth = place.take(go), node.take(go), nth.take(go)
         begin = np.cumsum(steps, dtype=np.int64) - steps
-        out = [np.empty(int(steps.sum()), k) for k in (np.int64, np.int64, np.float64)]
+        out = [np.empty(int(steps.sum()), k) for k in (np.int64, np.float64)]
         for place, nth, *found in seen:
-            at = begin[place] + nth
+            at = begin.take(place) + nth
             for o, x in zip(out, found, strict=True):
                 o[at] = x
         return steps, *out
@@ -501,24 +497,26 @@ class Sampler:
         inside = (node >= 0) & (self.start[doc + 1] > word)
         cur[at[inside]] = node[inside]
         salt = mixed(self.keys + np.array([turn + 1], np.uint64) * _GOLD)
-        steps, nodes, taken, lead = self.walk(w, cur, salt)
+        steps, taken, lead = self.walk(w, cur, salt)
         own = np.repeat(job, steps)
         n = np.bincount(own, minlength=len(jobs))
         ends = np.cumsum(n)
-        step = -np.log(self.lat.mean[taken])
+        step = -np.log(self.lat.mean.take(taken))
         run = np.append(0.0, np.cumsum(step))
         base = run[ends - n]
         total = run[ends] - base + logp
-        before = run[:-1] - base[own] + logp[own]
+        before = run[:-1] - np.repeat(base, n) + np.repeat(logp, n)
         late = lead - before
         some = [a + (np.arange(b - a) if b - a <= self.k else np.argpartition(late[a:b], self.k)[: self.k]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-        branches = self.branches(np.concatenate(some), np.repeat(w, steps), nodes, taken, before, own, value, salt) if len(own) else {}
+        branches = self.branches(np.concatenate(some), w, steps, taken, before, own, value, salt) if len(own) else {}
         for j, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist(), strict=True)):
             yield taken[a:b], float(total[j]), [(x, visit - a, *more) for x, visit, *more in branches.get(j, [])]
 
-    def branches(self, at: np.ndarray, w: np.ndarray, nodes: np.ndarray, taken: np.ndarray, before: np.ndarray, job: np.ndarray, value: np.ndarray, salt: np.ndarray) -> dict[int, list[tuple]]:
+    def branches(self, at: np.ndarray, words: np.ndarray, steps: np.ndarray, taken: np.ndarray, before: np.ndarray, job: np.ndarray, value: np.ndarray, salt: np.ndarray) -> dict[int, list[tuple]]:
         """By job the k best branches off its visits `at`: (value, visit, word, node after it or -1, edge, logp after it)."""
-        e, count, first, t = self.times(w[at], nodes[at], salt)
+        # The word of each visit, and the node that its edge leaves: edges stand in order of their nodes.
+        w, nodes = words[np.searchsorted(np.cumsum(steps), at, "right")], np.searchsorted(self.lat.off, taken[at], "right") - 1
+        e, count, first, t = self.times(w, nodes, salt)
         owner = np.repeat(np.arange(len(at)), count)
         low = t[first + taken[at] - e[first]]
         side = np.flatnonzero(e != taken[at][owner])
@@ -527,15 +525,15 @@ class Sampler:
         with np.errstate(divide="ignore"):
             x = -np.logaddexp(-value[job[visit]], np.log(t - low[owner]) - before[visit])
         o = np.lexsort((e, visit, -x, job[visit]))
-        e, visit, x = e[o], visit[o], x[o]
+        e, visit, owner, x = e[o], visit[o], owner[o], x[o]
         own = job[visit]
         rank = np.arange(len(own)) - np.searchsorted(own, own)
-        e, visit, x, own = (c[rank < self.k] for c in (e, visit, x, own))
-        to = self.after(nodes[visit], e)
-        to = np.where(to >= self.last[w[visit]], -1, to)
+        e, visit, owner, x, own = (c[rank < self.k] for c in (e, visit, owner, x, own))
+        to = self.after(nodes[owner], e)
+        to = np.where(to >= self.last[w[owner]], -1, to)
         lp = before[visit] - np.log(self.lat.mean[e])
         out: dict[int, list[tuple]] = {}
-        for j, *row in zip(*(c.tolist() for c in (own, x, visit, w[visit], to, e, lp)), strict=True):
+        for j, *row in zip(*(c.tolist() for c in (own, x, visit, w[owner], to, e, lp)), strict=True):
             out.setdefault(j, []).append(tuple(row))
         return out
 
@@ -592,7 +590,9 @@ def segmentations(texts: list[str], keys: list[int | None], v: Vocabulary, k: in
         if v.known.bytes() > room.lattices:
             v.known = v.known.often_used(0.4)
         lat = v.known
-        words, which, start = v.words(plain)
+        said = [t.encode("utf-8", "surrogatepass") for t in plain]
+        v.plain = dict(zip(texts[begun:at], said, strict=True))
+        words, which, start = v.words(plain, said)
         own = lat.numbers(words, v)[which]
         lat.uses[:] += np.bincount(own, minlength=len(lat.words)).astype(np.int32)
         if v.by_word:
@@ -616,7 +616,7 @@ _SAMPLE_DDL = "rank:int,n_pieces:long,ids_crc32:long,logp:double,perturbed:doubl
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     """A list column of id arrays, without a Python object for each id."""
-    values = np.concatenate([np.zeros(0, "<u4"), *rows]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, "<u4"), *rows]).view(np.int32)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(values))
 
 
@@ -653,8 +653,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", k: int = 2, alpha:
             held, at, size = [], 0, 0
             with common.uncollected():
                 for text, (ids, samples) in zip(texts, segmentations(texts, keys.to_pylist(), v, k, seed, *own), strict=True):
-                    plain = v.model.normalize(text).encode("utf-8", "surrogatepass")
-                    held.append((ids, v.spell([ids, *(m[0] for m in samples)], plain), samples))
+                    held.append((ids, v.spell([ids, *(m[0] for m in samples)], v.normal(text)), samples))
                     size += len(ids) * (k + 1)
                     if size >= ids_at_once or at + len(held) == len(texts):
                         yield pa.RecordBatch.from_arrays([keys.slice(at, len(held)), *_columns(held, with_ids)], names=names)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +358,57 @@ def test_most_used_words_are_copied_in_parts(monkeypatch):
         assert (parts.ids[parts.ids_off[a] :][: parts.ids_count[a]] == built.ids[built.ids_off[b] :][: built.ids_count[b]]).all()
 
 
+def test_texts_are_normalised_once_and_kept_words_find_room(monkeypatch):
+    """A text is normalised once for its ids, samples and their check; what is kept of a worker's words grows back where it stands."""
+    v = pieces.Vocabulary(tokenizers.path("piece_bpe_32k.model"), 1.0)
+    real, asked = v.model, []
+
+    class Counted:
+        def normalize(self, text):
+            asked.append(text)
+            return real.normalize(text)
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+    v.model = Counted()
+    monkeypatch.setattr(pieces, "CHARS_AT_ONCE", 2000)
+    monkeypatch.setattr(pieces, "vocabulary", lambda *a: v)
+    monkeypatch.setattr(common, "prepare", lambda spark: None)
+    r = random.Random(12)
+    texts = [prose(r, 100) for _ in range(9)] + ["", None, "日本 a▁b", "twice " * 30, "twice " * 30, *(" ".join(f"w{i}x{i * i}" for i in range(j, j + 300)) for j in (0, 300))]
+
+    class Docs:
+        sparkSession = None
+
+        def selectExpr(self, *a):  # noqa: N802
+            return self
+
+        def mapInArrow(self, run, ddl):  # noqa: N802
+            return list(run(iter([pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})])))
+
+    rows = [x for b in pieces.encode(Docs(), "") for x in b.to_pylist()]
+    assert len(rows) == len(texts) and all(x["decodes"] for x in rows)
+    assert asked == [t or "" for t in texts]
+    kept = v.known.often_used(0.5)
+    held = {k: p.data for k, p in kept.parts.items()}
+    kept.numbers([w for w in v.known.words if w not in kept.words], v)
+    assert len(kept.words) == len(v.known.words) > 600 and kept.bytes() == v.known.bytes()
+    assert all(kept.parts[k].data is x for k, x in held.items()) and max(p.size for p in kept.parts.values()) > 1024
+
+
+def test_what_ids_say_is_compared_byte_for_byte():
+    """Sequences decode if each says the whole text: not if one lacks what another has too much, says other bytes, or is empty."""
+    v = pieces.Vocabulary(tokenizers.path("piece_bpe_32k.model"), 1.0)
+    long = max((i for i in range(len(v.says)) if v.model.id_to_piece(i).strip("▁").isalpha()), key=lambda i: len(v.says[i]))
+    for t in ("the calm river 日本 é " + "x" * 50, v.model.id_to_piece(long).replace("▁", " ").strip(), "a"):
+        ids, said = np.array(v.model.encode(t), "<u4"), v.normal(t)
+        assert v.spell([ids, ids, ids], said) and not v.spell([ids, ids[:-1]], said) and not v.spell([ids[:0], ids], said)
+        assert not v.spell([np.append(ids, ids[-1:]), ids[:-1]], said) and not v.spell([ids, np.append(ids[:-1], v.byte[7])], said)
+    none = np.zeros(0, "<u4")
+    assert v.spell([none, none], b"") and not v.spell([none, ids], b"")
+
+
 def test_suffixes_leave_no_scratch(spark, monkeypatch):
     """A query's shuffles are deleted with each written table, and of its tables only the last stays."""
     import glob
