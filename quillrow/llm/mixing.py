@@ -219,7 +219,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
         return pd.Series(stepped(np.stack(p.to_numpy()), steps)) if len(p) else pd.Series([], dtype=float)
 
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.col("row_key"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    out = members.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(rate("posterior")))
+    # As if not deterministic: else Spark runs it for a filter of copies and again for the copies, each in a worker process
+    # of its own for every task, and the workers that are too many live on through the stages that follow.
+    out = members.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(rate.asNondeterministic()("posterior")))
     return out.withColumn("n_copies", F.floor(F.col("rate") + unit).cast("long"))
 
 

@@ -438,3 +438,12 @@ def test_suffixes_leave_no_scratch(spark, monkeypatch):
     assert len(out.collect()) == 4 and len(made) > 6 and not any(held)
     left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
     assert left == made[-1:]
+
+
+def test_rates_are_told_once(spark):
+    """Choosing the rows that have copies doesn't run the rates' Python a second time, in worker processes of its own."""
+    own = spark.createDataFrame([(i, f"calm river word{i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, ("high", "low")[i % 2]) for i in range(20)], "doc_id long, domain string")
+    out = mixing.mixed(own, labels, {"high": 1.5, "low": 0.5})
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {x.doc_id for x in out.collect()} <= set(range(20))
