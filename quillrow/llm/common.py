@@ -20,6 +20,8 @@ from quillrow.session import ship
 
 #: Rows of one Arrow batch handed to Python. Documents can be long, so batches stay short.
 BATCH_ROWS = 1000
+#: The same for rows of a few numbers.
+LONG_BATCH_ROWS = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +37,20 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def longer_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of narrow rows meanwhile: LONG_BATCH_ROWS, unless the session sets a bound of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    ours = spark.conf.get(key) == str(BATCH_ROWS)
+    if ours:
+        spark.conf.set(key, str(LONG_BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if ours:
+            spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of `spark.checkpoint.dir`; a temporary one only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -266,6 +266,18 @@ def multikey_sort(keys: np.ndarray) -> np.ndarray:
     return order
 
 
+def packed_runs(number: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """(number, runs) of the texts of some suffixes, in any order and maybe repeated: runs are (first suffix, number of suffixes)."""
+    o = np.lexsort((start, number))
+    number, start = number[o], start[o].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (np.diff(start) > 1)]))
+    n = start[np.append(first[1:] - 1, len(start) - 1)] - start[first] + 1
+    own = number[first]
+    text = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    runs = pa.StructArray.from_arrays([pa.array(start[first]), pa.array(n)], ["first", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(own[text]), pa.ListArray.from_arrays(pa.array(np.append(text, len(first)).astype(np.int32)), runs)], names=["number", "runs"])
+
+
 def _text(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(*[c for c in docs.columns if c != "text"], text.alias("text"), F.unhex(F.md5(text)).alias("uid"))
@@ -357,28 +369,28 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, words: bool = Fa
         edge &= (n[run] == 1) | new
         at = np.flatnonzero((kind == 1) | edge)
         rows = table.take(pa.array(o[at]))
+        # Tokens are compared across boundaries alone, so rows elsewhere are written without.
+        for k, name in enumerate(key):
+            rows = rows.set_column(k, name, pa.array(t[at, k], mask=~edge[at]))
         yield from rows.append_column("repeated", pa.array(kind[at] == 1)).append_column("edge", pa.array(edge[at])).append_column("bucket", pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32))).combine_chunks().to_batches()
 
     out = common.written(made.mapInArrow(compared, f"{ddl}, number long, start int, repeated boolean, edge boolean, bucket int"), "compared")
     edges = out.where("edge")  # two rows of a bucket at most
     across = edges.groupBy(*key).agg(F.count_distinct("bucket").alias("buckets")).where("buckets > 1").select(*key)
     more = edges.where("not repeated").join(across, key, "left_semi").select("number", "start")
-    starts = out.where("repeated").select("number", "start").unionByName(more).groupBy("number").agg(F.collect_list("start").alias("starts"))
-    run_type = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
+    starts = out.where("repeated").select("number", "start").unionByName(more)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for x in batch.column("starts"):
-                v = np.unique(x.values.to_numpy())
-                first = np.flatnonzero(np.concatenate([[True], np.diff(v) != 1]))
-                made.append([{"first": int(v[i]), "n": int(j - i)} for i, j in zip(first, np.append(first[1:], len(v)), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(made, run_type)], names=["number", "runs"])
-
-    # The starts of one text are at most its bytes; runs of them are few.
-    each = starts.mapInArrow(packed, "number long, runs array<struct<first:long,n:long>>").join(sorted_.select("number", "uid"), "number").select("uid", "runs")
+        got = [b for b in batches if b.num_rows]
+        if got:
+            rows = pa.Table.from_batches(got)
+            yield packed_runs(rows.column("number").to_numpy(), rows.column("start").to_numpy())
+
+    # The starts of one text are at most its bytes and come to one task as they are; runs of them are few.
+    each = starts.repartition(parts, "number").mapInArrow(packed, "number long, runs array<struct<first:long,n:long>>").join(sorted_.select("number", "uid"), "number").select("uid", "runs")
     twinned = whole.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    runs = common.written(each.unionByName(twinned).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    with common.longer_batches(spark):
+        runs = common.written(each.unionByName(twinned).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
     common.dropped(some, twins, sorted_, out)
     return runs
 

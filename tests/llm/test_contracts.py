@@ -447,3 +447,26 @@ def test_rates_are_told_once(spark):
     out = mixing.mixed(own, labels, {"high": 1.5, "low": 0.5})
     assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert {x.doc_id for x in out.collect()} <= set(range(20))
+
+
+def test_starts_are_packed_at_once(spark, monkeypatch):
+    """Starts of many texts in any order, some repeated, become the runs of each; no list of starts is gathered for a text."""
+    r = random.Random(9)
+    want = {i: sorted(r.sample(range(60), r.randint(1, 40))) for i in range(50)}
+    rows = [(i, s) for i, own in want.items() for s in own + own[:3]]
+    r.shuffle(rows)
+    made = suffixes.packed_runs(np.array([x for x, _ in rows], np.int64), np.array([x for _, x in rows], np.int32)).to_pylist()
+    assert {x["number"]: [s for run in x["runs"] for s in range(run["first"], run["first"] + run["n"])] for x in made} == want
+    assert all(a["first"] + a["n"] < b["first"] for x in made for a, b in zip(x["runs"], x["runs"][1:], strict=False))
+    plans, written = [], common.written
+
+    def noted(df, name):
+        if name == "runs":
+            plans.append(planned(df))
+        return written(df, name)
+
+    monkeypatch.setattr(common, "written", noted)
+    own = spark.createDataFrame([(1, "ab" * 60 + "xyz" * 30), (2, "q" + "ab" * 60), (3, "none of it")], "doc_id long, text string")
+    got = {x.doc_id: len(x.kept) for x in suffixes.removed(own, 40, 24).collect()}
+    assert got == {i: n - gone for i, (n, gone, *_) in zip((1, 2, 3), suffixes.brute_force([x.text for x in own.collect()], 40), strict=True)}
+    assert plans and "collect_list(start" not in plans[0]
