@@ -49,8 +49,10 @@ AT_ONCE = 1 << 16
 BATCH = 20_000
 #: Rows that are sorted at once.
 SHORT = 1 << 16
-#: Suffixes of a bucket, about.
-BUCKET = 1_000_000
+#: Suffixes of a bucket, about, and suffixes of a task that are dealt to buckets at once.
+BUCKET, DEALT = 1_000_000, 500_000
+#: Sampled suffixes of a bucket, and texts that they are taken from at least, if there are as many; about.
+SAMPLED, SAMPLED_TEXTS = 100, 5_000
 
 _SPACE = re.compile(rb"\s")
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
@@ -266,6 +268,80 @@ def multikey_sort(keys: np.ndarray) -> np.ndarray:
     return order
 
 
+def tokens_of(texts: list[str], numbers: list[int], parts: pa.ListArray, span: int, words: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, number of the text, start) of all suffixes in the parts (first, n) of some texts, short texts at once."""
+    count, flat = parts.value_lengths().to_numpy(), parts.flatten()
+    first, n, number = flat.field("first").to_numpy(), flat.field("n").to_numpy(), np.array(numbers, np.int64)
+    at = np.cumsum(count) - count
+    cuts = [span * k // TOKENS for k in range(TOKENS + 1)]
+    long = set(range(len(texts)))
+    for places, seq, owner in sequences(texts, words, PIECE):
+        long.difference_update(places)
+        own = np.array(places)
+        begin = np.searchsorted(owner, np.arange(len(own), dtype=owner.dtype))
+        part = np.concatenate([np.arange(at[i], at[i] + count[i]) for i in places])
+        text = np.repeat(np.arange(len(own)), count[own])
+        size = n[part]
+        start = np.repeat(first[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        text = np.repeat(text, size)
+        if len(start):
+            h, s = Hashes(seq), start + begin[text]
+            yield np.stack([h.of(s + a, s + b) for a, b in zip(cuts, cuts[1:], strict=False)], axis=1), number[own[text]], start.astype(np.int32)
+    for i in sorted(long):
+        start = np.concatenate([np.arange(a, a + m) for a, m in zip(first[at[i] : at[i] + count[i]].tolist(), n[at[i] : at[i] + count[i]].tolist(), strict=True)])
+        data = words_of(texts[i]) if words else texts[i].encode("utf-8", "surrogatepass")
+        yield tokens(data, start, span), np.full(len(start), number[i]), start.astype(np.int32)
+
+
+#: What packets hold of a suffix: its tokens, the number of its text and its start; of a start the last two.
+_KEY = [np.int64] * (TOKENS + 1) + [np.int32]
+_START = _KEY[TOKENS:]
+
+
+def packets(dest: np.ndarray, columns: list[np.ndarray]) -> list[pa.Array]:
+    """Rows of numbers as (dest, data), the columns of a destination one after the other: no row of the engine for each."""
+    o = np.argsort(dest.astype(np.int16) if dest.max(initial=0) < 1 << 15 else dest, kind="stable")
+    dest = dest[o]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(dest)), bool), dest[1:] != dest[:-1]]))
+    columns, ends = [c[o] for c in columns], [*first[1:].tolist(), len(dest)]
+    data = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(first.tolist(), ends, strict=False)]
+    return [pa.array(dest[first].astype(np.int32)), pa.array(data, pa.binary())]
+
+
+def unpacked(data: list[bytes], kinds: list[type]) -> list[np.ndarray]:
+    """The columns of some packets."""
+    width, out = sum(np.dtype(k).itemsize for k in kinds), [[np.zeros(0, k)] for k in kinds]
+    for b in data:
+        at, n = 0, len(b) // width
+        for own, k in zip(out, kinds, strict=True):
+            own.append(np.frombuffer(b, k, n, at))
+            at += own[-1].nbytes
+    return [np.concatenate(x) for x in out]
+
+
+def buckets_of(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
+    """How many of the sorted splitters stand before or at each key; both are columns, compared one after the other."""
+    low = np.searchsorted(splitters[0], keys[0], "left")
+    high = np.searchsorted(splitters[0], keys[0], "right")
+    todo = np.flatnonzero(low < high)  # equal in the first column
+    while len(todo):
+        mid = (low[todo] + high[todo]) // 2
+        less, same = np.zeros(len(todo), bool), np.ones(len(todo), bool)
+        for k, s in zip(keys[1:], splitters[1:], strict=True):
+            x, y = s[mid], k[todo]
+            less |= same & (x < y)
+            same &= x == y
+        less |= same
+        low[todo], high[todo] = np.where(less, mid + 1, low[todo]), np.where(less, high[todo], mid)
+        todo = todo[low[todo] < high[todo]]
+    return low
+
+
+def home(number: np.ndarray, parts: int) -> np.ndarray:
+    """The task that the starts of each text come to. Numbers count within a task of the table that they come from."""
+    return ((number + (number >> 33) * 7919) % parts).astype(np.int32)
+
+
 def packed_runs(number: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """(number, runs) of the texts of some suffixes, in any order and maybe repeated: runs are (first suffix, number of suffixes)."""
     o = np.lexsort((start, number))
@@ -288,7 +364,6 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, words: bool = Fa
 
     span and gram are bytes (8 in each token and 8 in a gram at least), or words.
     """
-    read = words_of if words else lambda text: text.encode("utf-8", "surrogatepass")
     spark = docs.sparkSession
     texts = _text(docs.select("text"))
     found = pa.schema([("least", pa.int64()), ("whole", pa.int64()), ("uid", pa.binary()), ("first", pa.int64()), ("n", pa.int64()), ("twice", pa.bool_())])
@@ -306,7 +381,7 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, words: bool = Fa
             yield held
         for i, t in enumerate(own):
             if len(t) > PIECE // 4 and len(data := t.encode("utf-8", "surrogatepass")) > PIECE:
-                for made in stretches(read(t) if words else data, span, gram):
+                for made in stretches(words_of(t) if words else data, span, gram):
                     yield [(*made, np.full(len(made[0]), i))]
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,79 +390,109 @@ def repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, words: bool = Fa
                 least, whole, first, n, twice, text = (np.concatenate(c) for c in zip(*held, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("uid").take(pa.array(text)), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(twice)], schema=found)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for held in sieved(batch.column("text")):
-                least, *_, twice, _ = (np.concatenate(c) for c in zip(*held, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(twice)], names=["least", "twice"])
-
-    # Computed twice rather than stored, the first time without what only the second needs: the sieve is cheap, its table is not.
-    each = texts.mapInArrow(sieve, "least long, whole long, uid binary, first long, n long, twice boolean")
-    lean = texts.select("text").mapInArrow(hashed, "least long, twice boolean")
-    live = common.written(lean.groupBy("least").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("least"), "live")
+    # Stored, as the sieve takes longer than its table; a text's key is a word of the column's dictionary.
+    each = common.written(texts.mapInArrow(sieve, "least long, whole long, uid binary, first long, n long, twice boolean"), "stretches")
+    live = common.written(each.groupBy("least").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("least"), "live")
     some = common.written(each.join(live, "least"), "some")
-    common.dropped(live)
+    common.dropped(each, live)
     twins = common.written(some.groupBy("least", "whole").agg(F.count("*").alias("c"), F.max("twice").alias("t"), F.min(F.struct("uid", "first", "n")).alias("s")), "twins")
     whole = some.join(twins.where("c > 1").select("least", "whole"), ["least", "whole"], "left_semi").groupBy("uid", "first").agg(F.max("n").alias("n"))
     single = twins.where("c = 1 or t").select("least").distinct()
     # Stretches whose suffixes are sorted: those without a twin, and one of each sort of twins that share their hash.
     sorted_ = common.written(common.keyed(twins.join(single, "least", "left_semi").select("s.uid", "s.first", "s.n").groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("parts"), F.sum("n").alias("n")), "number"), "sorted")
-    size = sorted_.agg(F.sum("n")).first()[0] or 0
+    size, count = sorted_.agg(F.sum("n"), F.count("*")).first()
+    size = size or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = [f"t{k}" for k in range(TOKENS)], set()
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        seen: set[int] = set()
         for batch in batches:
             new = [i for i, n in enumerate(batch.column("number").to_pylist()) if n not in seen and not seen.add(n)]
-            for r in batch.take(pa.array(new, pa.int64())).to_pylist():
-                s = np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in r["parts"]])
-                t = tokens(read(r["text"]), s, span).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*[pa.array(t[:, k].copy()) for k in range(TOKENS)], pa.array(np.full(len(s), r["number"])), pa.array(s.astype(np.int32))], names=[*names, "number", "start"])
+            if new:
+                own = batch.take(pa.array(new, pa.int64()))
+                yield from tokens_of(own.column("text").to_pylist(), own.column("number").to_pylist(), own.column("parts"), span, words)
 
-    key = [f"t{k}" for k in range(TOKENS)]
-    ddl = ", ".join(f"{k} long" for k in key)
     # Copies of a text come to one task, or to a few where their group is split; each task reads one of them.
-    wanted = texts.join(sorted_.select("uid", "number", "parts"), "uid").select("text", "number", "parts")
-    made = wanted.mapInArrow(suffixes, f"{ddl}, number long, start int").repartitionByRange(parts, *key, "number", "start")
+    def wanted(own: DataFrame, those: DataFrame) -> DataFrame:
+        return own.join(those.select("uid", "number", "parts"), "uid").select("text", "number", "parts")
+
+    # Splitters come from suffixes of some texts: to sample all would make all of them a second time.
+    share = int(65536 * min(1.0, max(SAMPLED_TEXTS / max(1, count), SAMPLED * parts / max(1, size)))) + 1
+    rate = min(1.0, SAMPLED * parts * 65536 / max(1, size * min(share, 65536)))
+    few = f"pmod(xxhash64(uid), 65536) < {share}"
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, number, start in suffixes(batches):
+            own = np.flatnonzero((_mixed(t[:, 0] ^ _mixed(number.view(np.uint64) * _BASE + start.astype(np.uint64))) >> np.uint64(11)).astype(np.float64) < rate * (1 << 53))
+            yield pa.RecordBatch.from_arrays(packets(np.zeros(len(own), np.int32), [*t[own].view(np.int64).T, number[own], start[own]]), names=["dest", "data"])
+
+    sample = [bytes(r["data"]) for r in wanted(texts.where(few), sorted_.where(few)).mapInArrow(sampled, "dest int, data binary").collect()] if parts > 1 and size else []
+    splitters = unpacked(sample, _KEY)
+    order = np.lexsort(splitters[::-1])
+    splitters = [c[order[np.arange(1, parts) * len(order) // parts] if len(order) else order] for c in splitters]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            t, *own = (np.concatenate(c) for c in zip(*held, strict=True))
+            keys = [*np.ascontiguousarray(t.T).view(np.int64), *own]
+            return pa.RecordBatch.from_arrays(packets(buckets_of(keys, splitters), keys), names=["dest", "data"])
+
+        held, rows = [], 0
+        for one in suffixes(batches):
+            held.append(one)
+            rows += len(one[1])
+            if rows >= DEALT:
+                yield made()
+                held, rows = [], 0
+        if held:
+            yield made()
+
+    key = [f"t{k}" for k in range(TOKENS)]
+    edge_ddl = ", ".join(f"{k} long" for k in key) + ", number long, start int, repeated boolean, bucket int"
+    made = wanted(texts, sorted_).mapInArrow(dealt, "dest int, data binary").repartitionById(parts, "dest").select("data")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        got = list(batches)
-        if not got:
+        *t, number, start = unpacked([x for b in batches for x in b.column("data").to_pylist()], _KEY)
+        if not len(number):
             return
-        table = pa.Table.from_batches(got)
-        t = np.stack([table.column(k).to_numpy() for k in key], axis=1)
+        t = np.stack(t, axis=1)
         o = multikey_sort(t)
         t = t[o]
         new = np.concatenate([[True], (t[1:] != t[:-1]).any(axis=1)])
         run = np.cumsum(new) - 1
         n = np.bincount(run)
-        kind = np.where(n[run] > 1, 1, 0)
+        many = n[run] > 1
         edge = (run == 0) | (run == run[-1])
-        # Of a run of many at an edge, one row stands for its key.
-        edge &= (n[run] == 1) | new
-        at = np.flatnonzero((kind == 1) | edge)
-        rows = table.take(pa.array(o[at]))
-        # Tokens are compared across boundaries alone, so rows elsewhere are written without.
-        for k, name in enumerate(key):
-            rows = rows.set_column(k, name, pa.array(t[at, k], mask=~edge[at]))
-        yield from rows.append_column("repeated", pa.array(kind[at] == 1)).append_column("edge", pa.array(edge[at])).append_column("bucket", pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32))).combine_chunks().to_batches()
-
-    out = common.written(made.mapInArrow(compared, f"{ddl}, number long, start int, repeated boolean, edge boolean, bucket int"), "compared")
-    edges = out.where("edge")  # two rows of a bucket at most
+        # Of a run at an edge one row stands for its key.
+        at, hit = np.flatnonzero(edge & new), o[many]
+        dest, data = packets(home(number[hit], parts), [number[hit], start[hit]])
+        none, names = len(dest), [*key, "number", "start", "repeated", "bucket"]
+        bucket = np.full(len(at), TaskContext.get().partitionId(), np.int32)
+        columns = [pa.array(x) for x in (*np.ascontiguousarray(t[at].T), number[o[at]], start[o[at]], many[at], bucket)]
+        columns = [pa.concat_arrays([c, pa.nulls(none, c.type)]) for c in columns]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.concat_arrays([pa.nulls(len(at), c.type), c]) for c in (dest, data)]], names=[*names, "dest", "data"])
+
+    out = common.written(made.mapInArrow(compared, f"{edge_ddl}, dest int, data binary"), "compared")
+    edges = out.where("bucket is not null")  # two rows of a bucket at most
     across = edges.groupBy(*key).agg(F.count_distinct("bucket").alias("buckets")).where("buckets > 1").select(*key)
-    more = edges.where("not repeated").join(across, key, "left_semi").select("number", "start")
-    starts = out.where("repeated").select("number", "start").unionByName(more)
+
+    def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [b.column(c).to_numpy() for c in ("number", "start")]
+            yield pa.RecordBatch.from_arrays(packets(home(own[0], parts), own), names=["dest", "data"])
+
+    more = edges.where("not repeated").join(across, key, "left_semi").select("number", "start").mapInArrow(lone, "dest int, data binary")
+    starts = out.where("dest is not null").select("dest", "data").unionByName(more)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            rows = pa.Table.from_batches(got)
-            yield packed_runs(rows.column("number").to_numpy(), rows.column("start").to_numpy())
+        number, start = unpacked([x for b in batches for x in b.column("data").to_pylist()], _START)
+        if len(number):
+            yield packed_runs(number, start)
 
     # The starts of one text are at most its bytes and come to one task as they are; runs of them are few.
-    each = starts.repartition(parts, "number").mapInArrow(packed, "number long, runs array<struct<first:long,n:long>>").join(sorted_.select("number", "uid"), "number").select("uid", "runs")
+    each = starts.repartitionById(parts, "dest").select("data").mapInArrow(packed, "number long, runs array<struct<first:long,n:long>>").join(sorted_.select("number", "uid"), "number").select("uid", "runs")
     twinned = whole.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     with common.longer_batches(spark):
         runs = common.written(each.unionByName(twinned).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")

@@ -470,3 +470,34 @@ def test_starts_are_packed_at_once(spark, monkeypatch):
     got = {x.doc_id: len(x.kept) for x in suffixes.removed(own, 40, 24).collect()}
     assert got == {i: n - gone for i, (n, gone, *_) in zip((1, 2, 3), suffixes.brute_force([x.text for x in own.collect()], 40), strict=True)}
     assert plans and "collect_list(start" not in plans[0]
+
+
+def test_suffixes_are_dealt_in_packets(spark, monkeypatch):
+    """Texts are sieved once and no suffix is made for a whole sampling; splitters deal one key to many buckets, and what repeats stays the same."""
+    r = np.random.default_rng(3)
+    keys = [r.integers(-2, 3, 500).astype(np.int64) for _ in range(3)] + [np.arange(500, dtype=np.int32)]
+    rows = list(zip(*(c.tolist() for c in keys), strict=True))
+    some = sorted(rows)[::25]
+    splitters = [np.array(c, k.dtype) for c, k in zip(zip(*some, strict=True), keys, strict=True)]
+    dest = suffixes.buckets_of(keys, splitters)
+    assert dest.tolist() == [sum(s <= x for s in some) for x in rows]
+    to, data = suffixes.packets(dest, keys)
+    assert len(set(to.to_pylist())) == len(to)
+    got = [(d, *x) for d, b in zip(to.to_pylist(), data.to_pylist(), strict=True) for x in zip(*(c.tolist() for c in suffixes.unpacked([b], suffixes._KEY)), strict=True)]
+    assert sorted(got) == sorted((d, *x) for d, x in zip(dest.tolist(), rows, strict=True))
+    g = random.Random(4)
+    shared = [prose(g, 40) for _ in range(4)]
+    texts = [f"{prose(g, g.randrange(60))} {g.choice(shared)} {g.choice(shared)[g.randrange(80):]}" for _ in range(120)] + ["ab" * 200, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: tuple(x[1:3]) for i, x in enumerate(suffixes.brute_force(texts, 40))}
+    for name, value in (("BUCKET", 300), ("DEALT", 1000), ("SAMPLED", 3), ("SAMPLED_TEXTS", 20), ("AT_ONCE", 500), ("PIECE", 350)):
+        monkeypatch.setattr(suffixes, name, value)
+    plans, written = {}, common.written
+
+    def noted(df, name):
+        plans[name] = planned(df)
+        return written(df, name)
+
+    monkeypatch.setattr(common, "written", noted)
+    assert {x.doc_id: (sum(s.end - s.start for s in x.spans), len(x.spans)) for x in suffixes.removed(docs, 40, 24).collect()} == want
+    assert "MapInArrow" in plans["stretches"] and "MapInArrow" not in plans["live"] + plans["some"] and "rangepartitioning" not in plans["compared"].lower()
