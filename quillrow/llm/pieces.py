@@ -51,7 +51,7 @@ CHARS_AT_ONCE, WALKED_AT_ONCE = 500_000, 16_000
 #: Ids of an Arrow batch of results, about.
 BATCH_IDS = 500_000
 #: Bytes of the lattices that a worker keeps between chunks.
-MOST_BYTES = 240 << 20
+MOST_BYTES = 300 << 20
 #: Words that are copied at once where the most used are kept.
 KEPT_AT_ONCE = 4_000
 
@@ -154,6 +154,8 @@ class Vocabulary:
         self.chars = np.array([1 if i in byte else len(m.id_to_piece(i)) for i in range(n)], np.int64)
         self.says = [byte.get(i) or (b" \xe2\x81\x87 " if i == self.unknown else b"" if m.is_control(i) else m.id_to_piece(i).encode()) for i in range(n)]
         self.said = pa.array(self.says, pa.large_binary())
+        # The pieces of characters alone, as find() has them.
+        self.single = self.find(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
         # Of the texts of the present chunk, their normalised bytes.
         self.plain: dict[str, bytes] = {}
 
@@ -178,6 +180,12 @@ class Vocabulary:
             left = left[~hit]
         return out
 
+    def alone(self, code: np.ndarray) -> np.ndarray:
+        """The piece of each character alone, as find() has it."""
+        out, far = self.single.take(np.minimum(code, len(self.single) - 1).view(np.int64)), np.flatnonzero(code >= len(self.single))
+        out[far] = self.find(code[far] + np.uint64(1))
+        return out
+
     def normal(self, text: str) -> bytes:
         """A text as the model normalises it."""
         got = self.plain.get(text)
@@ -259,7 +267,7 @@ class Lattices:
             h *= _P
             h += code.take(at + (n - 1))
             h += np.uint64(1)
-            found = v.find(h)
+            found = v.find(h) if n > 1 else v.alone(code)
             whole = np.flatnonzero(found >= 0)
             src.append(at.take(whole))
             length.append(np.full(len(whole), n))

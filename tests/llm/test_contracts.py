@@ -501,3 +501,18 @@ def test_suffixes_are_dealt_in_packets(spark, monkeypatch):
     monkeypatch.setattr(common, "written", noted)
     assert {x.doc_id: (sum(s.end - s.start for s in x.spans), len(x.spans)) for x in suffixes.removed(docs, 40, 24).collect()} == want
     assert "MapInArrow" in plans["stretches"] and "MapInArrow" not in plans["live"] + plans["some"] and "rangepartitioning" not in plans["compared"].lower()
+
+
+def test_characters_are_found_in_a_table(monkeypatch):
+    """Lattices read what a character is alone from a table, which says what the search of prefixes says; so does the search beyond it."""
+    import public_tokenizers
+
+    v = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    code = np.array([ord(c) for c in "▁aé的0\n\x00"] + [(1 << 16) - 1, 1 << 16, ord("😀"), 0x10FFFF], np.uint64)
+    assert v.alone(code).tolist() == v.find(code + np.uint64(1)).tolist()
+    asked = []
+    real = v.find
+    monkeypatch.setattr(v, "find", lambda h: asked.append(len(h)) or real(h))
+    words = ["▁river", "▁aé的", "▁q"]
+    pieces.Lattices(words, v)
+    assert sum(asked[:1]) < sum(map(len, words))
